@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquire.llm import ann, bpe, decontam, jaccard, langid, licences, quality, repeats
+from docquire.llm import ann, bpe, chaining, decontam, jaccard, langid, licences, quality, repeats
 from docquire.llm.common import fraction, table
 
 #: Folder of the public tokenizers' vocabulary files; the package that ships them names it, a variable overrides it.
@@ -42,6 +42,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", F.coalesce(fraction("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,5 +70,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_language_id, op3_decontamination, op4_token_counts, op5_quality, op7_suffix_array_dedup, op8_byte_bpe, op9_jaccard_join, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_language_id, op3_decontamination, op4_token_counts, op5_quality, op6_chained_passages, op7_suffix_array_dedup, op8_byte_bpe, op9_jaccard_join, op10_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
