@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -59,19 +59,12 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a fixed number of words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+_SPACE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_BYTE = np.random.default_rng(4242).integers(1 << 62, dtype=np.uint64, size=256) * np.uint64(2) + np.uint64(1)
+_POWER = np.ones(1 << 16, dtype=np.uint64)
+_POWER[1:] = np.multiply.accumulate(np.full((1 << 16) - 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+_ODD = np.random.default_rng(20240607).integers(1 << 62, dtype=np.uint64, size=64) * np.uint64(2) + np.uint64(1)
+_PORTION = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,29 +76,83 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_ODD = np.random.default_rng(20240607).integers(1 << 62, dtype=np.uint64, size=64) * np.uint64(2) + np.uint64(1)
+def portions(sizes: Iterable[int], limit: int = _PORTION) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `limit` bytes, one row at least: what numpy works on in one go."""
+    start, total, i = 0, 0, -1
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if i >= start:
+        yield start, i + 1
 
 
-def gram_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k consecutive words; fewer than k words give none."""
-    n = len(word_hashes) - k + 1
+def word_hashes(texts: list[bytes | None], ascii_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): 64-bit hashes of all words in order; text i has those from bounds[i] to bounds[i + 1].
+
+    Words are those of ascii_words or of space_words. A word's hash is a polynomial in its bytes, summed for all words
+    of all texts at once.
+    """
+    table = _WORD_BYTES if ascii_only else _SPACE_BYTES
+    raw = np.frombuffer(b" " + b" ".join((t or b"").translate(table) for t in texts) + b" ", dtype=np.uint8)
+    space = raw == 32
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    at = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+    bounds = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), bounds
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    lengths = ends - starts
+    letters = raw[~space]
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    return mix(np.add.reduceat(_BYTE[letters] * _POWER[place & 0xFFFF], first)), bounds
+
+
+def gram_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of each run of k consecutive words of a text; texts of fewer words have none."""
+    counts = np.maximum(0, np.diff(bounds) - k + 1)
+    n = len(words) - k + 1
     if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    total = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        total += word_hashes[j : j + n] * _ODD[j]
-    return mix(total)
+        return np.empty(0, dtype=np.uint64), np.zeros(len(bounds), dtype=np.int64)
+    total = words[:n] * _ODD[0]
+    for j in range(1, k):
+        total += words[j : j + n] * _ODD[j]
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return mix(total[text[:n] == text[k - 1 :]]), np.concatenate([[0], np.cumsum(counts)])
 
 
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the leftmost minimum of every window of consecutive hashes (of all, where there are fewer)."""
+def winnow(hashes: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
+    """Indices of the leftmost minimum of every window of consecutive hashes of a text (of all, where it has fewer).
+
+    Hashes are compared by their upper 40 bits, then by place, so equal windows always choose the same place.
+    """
     if not len(hashes):
         return np.empty(0, dtype=np.int64)
-    if len(hashes) <= window:
-        return np.array([int(hashes.argmin())])
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    at = views.argmin(axis=1) + np.arange(len(views))
-    return at[np.r_[True, at[1:] != at[:-1]]]
+    if len(hashes) >= 1 << 24:
+        half = int(np.searchsorted(bounds, len(hashes) // 2))
+        cut = int(bounds[half]) if 0 < half < len(bounds) - 1 else 0
+        if 0 < cut < len(hashes):
+            return np.concatenate([winnow(hashes[:cut], bounds[: half + 1], window), cut + winnow(hashes[cut:], bounds[half:] - cut, window)])
+        steps = range(0, len(hashes) - window + 1, 1 << 23)  # one text of many millions of words: overlapping pieces
+        parts = [s + winnow(hashes[s : s + (1 << 23) + window - 1], np.array([0, min(len(hashes) - s, (1 << 23) + window - 1)]), window) for s in steps]
+        return np.unique(np.concatenate(parts))
+    low = np.uint64((1 << 24) - 1)
+    key = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    counts = np.diff(bounds)
+    few = np.flatnonzero((counts > 0) & (counts < window))
+    chosen = [(np.minimum.reduce(key[bounds[i] : bounds[i + 1]]) & low).astype(np.int64)[None] for i in few]
+    if len(key) >= window:
+        least, span = key, 1
+        while span * 2 <= window:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < window:
+            least = np.minimum(least[: len(key) - window + 1], least[window - span :])
+        text = np.repeat(np.arange(len(counts)), counts)
+        chosen.append((least[text[: len(least)] == text[window - 1 :]] & low).astype(np.int64))
+    return np.unique(np.concatenate(chosen)) if chosen else np.empty(0, dtype=np.int64)
 
 
 def signed(h: np.ndarray) -> np.ndarray:

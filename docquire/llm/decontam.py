@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquire.llm.common import WordHashes, ascii_words, bit_filter, gram_hashes, in_filter, signed, spread, winnow, written
+from docquire.llm.common import ascii_words, bit_filter, gram_hashes, in_filter, portions, signed, spread, winnow, word_hashes, written
 
 #: Benchmark fingerprints up to this many go to every task (about 100 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -23,16 +23,19 @@ _BITS = 1 << 24
 _ROWS = "row_key long, kind int, h long, pos int, words array<binary>, before int, n_words long"
 
 
-def _fingerprints(words: list[bytes], hashes: WordHashes, span: int, k: int, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, positions, hashes): kind 0 are winnowed k-grams, kind n > 0 are all n-grams, for items of n words."""
-    each = hashes.array(words)
-    if len(words) >= span:
-        found = gram_hashes(each, k)
-        at = winnow(found, span - k + 1)
-        yield 0, at, found[at]
-    for n in lengths:
-        found = gram_hashes(each, n)
-        yield n, np.arange(len(found)), found
+def _fingerprints(texts: list[bytes | None], span: int, k: int, lengths: list[int]) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(words per text, [(kind, text numbers, word positions, hashes)]): kind 0 are winnowed k-grams of texts of `span`
+    words or more, kind n > 0 are all n-grams, for items of n words."""
+    words, bounds = word_hashes(texts, ascii_only=True)
+    counts, out = np.diff(bounds), []
+    for kind in (0, *lengths):
+        found, at = gram_hashes(words, bounds, kind or k)
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        chosen = np.arange(len(found)) if kind else winnow(found, at, span - k + 1)
+        if not kind:
+            chosen = chosen[counts[owner[chosen]] >= span]
+        out.append((kind, owner[chosen], chosen - at[owner[chosen]], found[chosen]))
+    return counts, out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5, text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -48,12 +51,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     short = items.select(F.col(item_text).cast("binary").alias("text"), F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"))
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rows = []
             for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = ascii_words(value)
-                for kind, at, found in _fingerprints(words, hashes, span, k, [len(words)] if 0 < len(words) < span else []):
+                for kind, _, at, found in _fingerprints([value], span, k, [len(words)] if 0 < len(words) < span else [])[1]:
                     size = kind or k
                     rows += [(name, kind, h, words[max(0, p + size - span) : p + span], min(p, span - size)) for p, h in zip(at.tolist(), signed(found).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.int32()])], names=["item_id", "kind", "h", "item_words", "item_before"])
@@ -66,18 +68,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     source = spread(docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"), F.col(f"`{text}`").cast("binary").alias("text")))
 
     def doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, filter_bits = WordHashes(), shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch, rows = whole.slice(start, 512), []
-                for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = ascii_words(value)
-                    rows.append((key, -1, 0, 0, None, 0, len(words)))
-                    for kind, at, found in _fingerprints(words, hashes, span, k, lengths):
-                        hit = in_filter(filter_bits, found)
-                        size = kind or k
-                        rows += [(key, kind, h, p, words[max(0, p + size - span) : p + span], min(p, span - size), 0) for p, h in zip(at[hit].tolist(), signed(found[hit]).tolist(), strict=True)]
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.int64()]
+        filter_bits = shared.value
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.int64()]
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in portions(len(t or b"") for t in texts):
+                counts, found = _fingerprints(texts[a:b], span, k, lengths)
+                rows = [(key, -1, 0, 0, None, 0, n) for key, n in zip(keys[a:b], counts.tolist(), strict=True)]
+                known_words = {}
+                for kind, owner, at, hashes in found:
+                    hit = in_filter(filter_bits, hashes)
+                    size = kind or k
+                    for i, p, h in zip(owner[hit].tolist(), at[hit].tolist(), signed(hashes[hit]).tolist(), strict=True):
+                        if i not in known_words:
+                            known_words[i] = ascii_words(texts[a + i])
+                        rows.append((keys[a + i], kind, h, p, known_words[i][max(0, p + size - span) : p + span], min(p, span - size), 0))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["row_key", "kind", "h", "pos", "words", "before", "n_words"])
 
     scanned = written(source.mapInArrow(doc_rows, _ROWS), "scanned")

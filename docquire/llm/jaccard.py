@@ -6,7 +6,7 @@ in a prefix tree, which is walked in depth-first order: a set reuses the overlap
 the set before it, and is left as soon as its remaining length can't make up the overlap it needs.
 
 Only which sets are connected matters, so pairs inside a group are not listed. First every set is compared with the one
-leader it shares most prefix shingles with; what links becomes one component. Then each pair of sets in different
+leader it shares most prefix shingles with (if these may suffice); what links becomes one component. Then each pair of sets in different
 components that share enough prefix shingles to reach the threshold is compared. No pair that could connect two
 components is left out.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquire.llm.common import WordHashes, bit_filter, components, gram_hashes, in_filter, mix, signed, space_words, spread, written
+from docquire.llm.common import bit_filter, components, gram_hashes, in_filter, mix, portions, signed, spread, word_hashes, written
 
 #: Most shingles that the global order ranks by frequency; the order of the others is by hash. Any order gives the same links.
 FREQUENT = 100_000
@@ -28,11 +28,22 @@ _FILTER_BITS = 1 << 26
 _NONE = np.empty(0, dtype=np.uint64)
 
 
-def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct runs of k words; fewer words are one run, none give the empty set."""
-    if not words:
-        return _NONE
-    return np.unique(gram_hashes(hashes.array(words), min(k, len(words))))
+def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
+    """Sorted hashes of each text's distinct runs of k words; fewer words are one run, none give the empty set."""
+    words, bounds = word_hashes(texts, ascii_only=False)
+    found, at = gram_hashes(words, bounds, k)
+    for i in range(len(texts)):
+        n = int(bounds[i + 1] - bounds[i])
+        if n >= k:
+            yield np.unique(found[at[i] : at[i + 1]])
+        else:
+            yield gram_hashes(words[bounds[i] : bounds[i + 1]], np.array([0, n]), n)[0] if n else _NONE
+
+
+def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    texts = column.to_pylist()
+    for a, b in portions(len(t or b"") for t in texts):
+        yield from shingle_sets(texts[a:b], k)
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -101,7 +112,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
     source = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, pool, size = WordHashes(), [], 0
+        pool, size = [], 0
 
         def often() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(pool), return_counts=True)
@@ -111,8 +122,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
 
         for batch in batches:
             ns, ids = [], []
-            for value in batch.column(1).to_pylist():
-                found = shingle_set(space_words(value), k, hashes)
+            for found in _sets(batch.column(1), k):
                 ns.append(len(found))
                 ids.append(set_id(found) if len(found) else 0)
                 pool.append(found)
@@ -130,12 +140,11 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
     order = spark.sparkContext.broadcast(Order(top["id"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ordered = WordHashes(), order.value
+        ordered = order.value
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 tokens, ids, sizes = [], [], []
-                for value in whole.column(1).slice(start, 1000).to_pylist():
-                    found = shingle_set(space_words(value), k, hashes)
+                for found in _sets(whole.column(1).slice(start, 1000), k):
                     if n := len(found):
                         head = ordered.sort(found)[: n - -(-percent * n // 100) + 1]
                         tokens.append(head)
@@ -157,7 +166,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
             many = np.repeat(lengths > 1, lengths)
             if not many.any():
                 continue
-            leader = np.repeat(ids[starts], lengths)
+            leader, size = np.repeat(ids[starts], lengths), np.repeat(n[starts], lengths)
             first = np.repeat(n[starts], lengths)
             for s, m in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
                 if first[s] * 100 < percent * n[s + m - 1]:  # sizes too far apart for one leader
@@ -165,12 +174,16 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
                     for i in range(s, s + m):
                         if n[at] * 100 < percent * n[i]:
                             at = i
-                        leader[i] = ids[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, ids, n, leader)], names=["token", "id", "n", "leader"])
+                        leader[i], size[i] = ids[at], n[at]
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, ids, n, leader, size)], names=["token", "id", "n", "leader", "size"])
 
-    groups = written(dealt.mapInArrow(shared, "token long, id long, n int, leader long"), "prefixes")
-    votes = groups.where("id <> leader").groupBy("leader", "id").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("id").agg(F.max_by("leader", F.struct("votes", "leader")).alias("x")).select("x", F.col("id").alias("y"))
+    groups = written(dealt.mapInArrow(shared, "token long, id long, n int, leader long, size int"), "prefixes")
+    # what two sets share beyond their prefixes is at most what either has left there
+    left = lambda c: F.ceil(F.col(c) * percent / 100) - 1
+    needed = lambda a, b: F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - F.lit(1e-9))
+    votes = groups.where("id <> leader").groupBy("leader", "id", "n", "size").agg(F.count("*").alias("votes"))
+    likely = votes.where(F.col("votes") + F.greatest(left("n"), left("size")) >= needed("n", "size"))
+    first = likely.groupBy("id").agg(F.max_by("leader", F.struct("votes", "leader")).alias("x")).select("x", F.col("id").alias("y"))
     links = _compare(source, written(first, "pairs"), order, k, percent)
     found = components(links)
 
@@ -197,11 +210,8 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
                         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], n[x], n[y])], names=["x", "y", "nx", "ny"])
                         xs, ys, size = [], [], 0
 
-    # what two sets share beyond their prefixes is at most what either has left there
-    left = lambda c: F.ceil(F.col(c) * percent / 100) - 1
-    needed = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent) - F.lit(1e-9))
     close = apart.mapInArrow(across, "x long, y long, nx int, ny int").groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared"))
-    rest = written(close.where(F.col("shared") + F.greatest(left("nx"), left("ny")) >= needed).select("x", "y"), "pairs")
+    rest = written(close.where(F.col("shared") + F.greatest(left("nx"), left("ny")) >= needed("nx", "ny")).select("x", "y"), "pairs")
     if not rest.isEmpty():
         more = _compare(source, rest, order, k, percent)
         links = links.union(more)
@@ -223,11 +233,10 @@ def _compare(source: DataFrame, pairs: DataFrame, order, k: int, percent: int) -
     bits = spark.sparkContext.broadcast(bit_filter(wanted, "id", _FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ordered, allowed = WordHashes(), order.value, bits.value
+        ordered, allowed = order.value, bits.value
         for batch in batches:
             ids, values = [], []
-            for value in batch.column(1).to_pylist():
-                found = shingle_set(space_words(value), k, hashes)
+            for found in _sets(batch.column(1), k):
                 if len(found) and in_filter(allowed, np.array([set_id(found)], dtype=np.int64).view(np.uint64))[0]:
                     ids.append(set_id(found))
                     values.append(ordered.sort(found).tobytes())

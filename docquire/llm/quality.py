@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquire.llm.common import WordHashes, spread
+from docquire.llm.common import spread, word_hashes
 
 WORDS = 4096  # slots for hashed words
 BINS = 16  # bins of each statistic
@@ -26,13 +26,14 @@ STATISTICS = 12
 FEATURES = WORDS + STATISTICS * BINS
 
 
-def features(text: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's non-zero features; an empty text has its statistics only."""
     words = text.split()
+    hashed = word_hashes([text], ascii_only=False)[0]
     slots = np.zeros(0, dtype=np.int64)
     n = max(1, len(text))
-    if words:
-        at = (hashes.array(words) >> np.uint64(52)).astype(np.int64)  # the top 12 bits: WORDS slots
+    if len(hashed):
+        at = (hashed >> np.uint64(52)).astype(np.int64)  # the top 12 bits: WORDS slots
         times = np.bincount(at, minlength=WORDS)
         slots = np.flatnonzero(times)
         values = np.log1p(times[slots])
@@ -106,9 +107,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(part.hint("broadcast"), "key")  # the sample's size is the bound
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [features(x or b"", hashes) for x in batch.column("text").to_pylist()]
+            found = [features(x or b"") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["key", "label", "at", "x"])
 
     schema = T.StructType([rows.schema["key"], rows.schema["label"], T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())])
@@ -124,9 +124,9 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text") -> D
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), shared.value
+        known = shared.value
         for batch in batches:
-            scores = [known.score(*features((x or "").encode(), hashes)) for x in batch.column(column).to_pylist()]
+            scores = [known.score(*features((x or "").encode())) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
