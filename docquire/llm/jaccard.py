@@ -5,15 +5,16 @@ their prefixes (the first n - ceil(t n) + 1), so the join runs on prefix shingle
 in a prefix tree, which is walked in depth-first order: a set reuses the overlap counted for the path it shares with
 the set before it, and is left as soon as its remaining length can't make up the overlap it needs.
 
-Only which sets are connected matters, so pairs inside a group are not listed. First every set is compared with the one
-leader it shares most prefix shingles with (if these may suffice); what links becomes one component. Then each pair of sets in different
-components that share enough prefix shingles to reach the threshold is compared. No pair that could connect two
-components is left out.
+Only which sets are connected matters, so pairs inside a group are not listed. In a few rounds every set is compared with
+a few leaders it shares prefix shingles with (if these may suffice), and what links becomes one component. Then each pair
+of sets still in different components that share enough prefix shingles to reach the threshold is compared. No pair that
+could connect two components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from docquire.llm.common import bit_filter, components, gram_hashes, in_filter, mix, portions, signed, spread, word_hashes, written
 
 #: Most shingles that the global order ranks by frequency; the order of the others is by hash. Any order gives the same links.
-FREQUENT = 100_000
+FREQUENT = 1_000_000
+#: Rounds of comparisons with leaders before all pairs that are still open, and leaders of a shingle in each round.
+STARS, LEADERS = 3, 3
 _FILTER_BITS = 1 << 26
 _NONE = np.empty(0, dtype=np.uint64)
 
@@ -116,7 +119,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
 
         def often() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(pool), return_counts=True)
-            more = n >= 3
+            more = n >= 2
             zeros = pa.nulls(int(more.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(int(more.sum()), dtype=bool)), zeros, pa.array(n[more].astype(np.int64)), pa.array(signed(values[more]))], names=["frequent", "key", "n", "id"])
 
@@ -136,8 +139,15 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
 
     seen = written(source.mapInArrow(survey, "frequent boolean, key long, n long, id long"), "sets")
     rows = seen.where("not frequent").select("key", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"))
-    top = seen.where("frequent").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 24").orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
-    order = spark.sparkContext.broadcast(Order(top["id"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)))
+    often = written(seen.where("frequent").groupBy("id").agg(F.sum("n").alias("n")), "frequent")
+    room, least = FREQUENT, 1 << 40
+    for r in often.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["n"]
+    top = often.where(F.col("n") >= least).toArrow()
+    order = spark.sparkContext.broadcast(Order(top.column("id").to_numpy().view(np.uint64), top.column("n").to_numpy()))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = order.value
@@ -156,66 +166,39 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
     dealt = source.mapInArrow(prefixes, "token long, id long, n int").repartition("token").sortWithinPartitions("token", "n", "id")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of shingles that at least two sets share, each with the leader it is first compared with."""
+        """Rows of shingles that at least two sets share; copies of a set count once."""
         for part in _groups(batches, ["token"]):
             token, ids, n = (part.column(c).to_numpy() for c in ("token", "id", "n"))
-            new = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]  # copies of a set count once
+            new = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]
             token, ids, n = token[new], ids[new], n[new]
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            lengths = np.diff(np.append(starts, len(token)))
+            lengths = np.diff(np.append(np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)))
             many = np.repeat(lengths > 1, lengths)
-            if not many.any():
-                continue
-            leader, size = np.repeat(ids[starts], lengths), np.repeat(n[starts], lengths)
-            first = np.repeat(n[starts], lengths)
-            for s, m in zip(starts[lengths > 1].tolist(), lengths[lengths > 1].tolist(), strict=True):
-                if first[s] * 100 < percent * n[s + m - 1]:  # sizes too far apart for one leader
-                    at = s
-                    for i in range(s, s + m):
-                        if n[at] * 100 < percent * n[i]:
-                            at = i
-                        leader[i], size[i] = ids[at], n[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, ids, n, leader, size)], names=["token", "id", "n", "leader", "size"])
-
-    groups = written(dealt.mapInArrow(shared, "token long, id long, n int, leader long, size int"), "prefixes")
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, ids, n)], names=["token", "id", "n"])
+
+    groups = written(dealt.mapInArrow(shared, "token long, id long, n int"), "prefixes")
     # what two sets share beyond their prefixes is at most what either has left there
     left = lambda c: F.ceil(F.col(c) * percent / 100) - 1
-    needed = lambda a, b: F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - F.lit(1e-9))
-    votes = groups.where("id <> leader").groupBy("leader", "id", "n", "size").agg(F.count("*").alias("votes"))
-    likely = votes.where(F.col("votes") + F.greatest(left("n"), left("size")) >= needed("n", "size"))
-    first = likely.groupBy("id").agg(F.max_by("leader", F.struct("votes", "leader")).alias("x")).select("x", F.col("id").alias("y"))
-    links = _compare(source, written(first, "pairs"), order, k, percent)
-    found = components(links)
-
-    labelled = groups.select("token", "id", "n").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    apart = labelled.join(mixed.hint("merge"), "token").repartition("token").sortWithinPartitions("token", "n", "id")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a shared shingle whose sets are in different components and of comparable sizes."""
-        for part in _groups(batches, ["token"]):
-            ids, n, group = (part.column(c).to_numpy() for c in ("id", "n", "component"))
-            bounds = _bounds(part, ["token"])
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                xs, ys, size = [], [], 0
-                for i in range(s, e - 1):
-                    top = s + int(np.searchsorted(n[s:e], n[i] * 100 // percent, side="right"))
-                    other = np.flatnonzero(group[i + 1 : top] != group[i]) + i + 1
-                    if len(other):
-                        xs.append(np.full(len(other), i))
-                        ys.append(other)
-                        size += len(other)
-                    if size and (size > 100_000 or i == e - 2):
-                        x, y = np.concatenate(xs), np.concatenate(ys)
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], n[x], n[y])], names=["x", "y", "nx", "ny"])
-                        xs, ys, size = [], [], 0
-
-    close = apart.mapInArrow(across, "x long, y long, nx int, ny int").groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared"))
-    rest = written(close.where(F.col("shared") + F.greatest(left("nx"), left("ny")) >= needed("nx", "ny")).select("x", "y"), "pairs")
-    if not rest.isEmpty():
-        more = _compare(source, rest, order, k, percent)
-        links = links.union(more)
-        found = components(links)
+    needed = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent) - F.lit(1e-9))
+    may_link = F.col("shared") + F.greatest(left("nx"), left("ny")) >= needed
+    labels, links, open_groups = None, None, groups.withColumn("component", F.col("id"))
+    for step in range(STARS + 1):
+        if labels is not None:
+            labelled = groups.join(labels.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            mixed = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+            open_groups = labelled.join(mixed.hint("merge"), "token")
+        pairs = _across if step == STARS else _stars(step)
+        pairs = partial(pairs, percent=percent)
+        found = open_groups.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(pairs, "x long, y long, nx int, ny int")
+        chosen = written(found.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).where(may_link).select("x", "y"), "pairs")
+        if chosen.isEmpty():
+            continue
+        more = _compare(source, chosen, order, k, percent)
+        links = more if links is None else links.union(more)
+        labels = components(links)
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long")
+        labels = spark.createDataFrame([], "node long, component long")
+    found = labels
 
     joined = rows.withColumn("id", F.when(F.col("n_shingles") > 0, F.col("set_id"))).join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     joined = joined.withColumn("component", F.coalesce("component", "id"))
@@ -226,6 +209,58 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
     return members, links
 
 
+def _stars(step: int):
+    """Pairs of a shared shingle between its sets and a few leaders, which are the same for all shingles they have.
+
+    Leaders are the first by a hash that changes with the step, from the component most of the group's sets are in; sets
+    of that component are not compared again.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, ["token"]):
+            ids, n, group = (part.column(c).to_numpy() for c in ("id", "n", "component"))
+            rank = mix(ids.view(np.uint64) + np.uint64(step))
+            bounds, xs, ys = _bounds(part, ["token"]), [], []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if e - s == 2:  # the usual case
+                    xs.append(np.array([s]))
+                    ys.append(np.array([s + 1]))
+                    continue
+                names, inverse, sizes = np.unique(group[s:e], return_inverse=True, return_counts=True)
+                single = len(names) == e - s
+                inside = np.arange(e - s) if single else np.flatnonzero(inverse == sizes.argmax())
+                leaders = inside[np.argsort(rank[s:e][inside])[:LEADERS]]
+                others = np.arange(e - s) if single else np.flatnonzero(inverse != sizes.argmax())
+                for at in leaders.tolist():
+                    rest = others[rank[s:e][others] > rank[s + at]] if single else others
+                    xs.append(np.full(len(rest), s + at))
+                    ys.append(rest + s)
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            fits = (np.minimum(n[x], n[y]).astype(np.int64) * 100 >= np.maximum(n[x], n[y]).astype(np.int64) * percent) & (group[x] != group[y])
+            x, y = x[fits], y[fits]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], n[x], n[y])], names=["x", "y", "nx", "ny"])
+
+    return pairs
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a shared shingle whose sets are in different components and of comparable sizes."""
+    for part in _groups(batches, ["token"]):
+        ids, n, group = (part.column(c).to_numpy() for c in ("id", "n", "component"))
+        bounds, xs, ys, size = _bounds(part, ["token"]), [], [], 0
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for i in range(s, e - 1):
+                top = s + int(np.searchsorted(n[s:e], int(n[i]) * 100 // percent, side="right"))
+                other = np.flatnonzero(group[i + 1 : top] != group[i]) + i + 1
+                xs.append(np.full(len(other), i))
+                ys.append(other)
+                size += len(other)
+                if size > 100_000 or (e == bounds[-1] and i == e - 2):
+                    x, y = np.concatenate(xs), np.concatenate(ys)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], n[x], n[y])], names=["x", "y", "nx", "ny"])
+                    xs, ys, size = [], [], 0
+
+
 def _compare(source: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
     """Those of the pairs x, y of set ids whose sets reach the threshold, as a, b."""
     spark = source.sparkSession
