@@ -1,7 +1,118 @@
-"""The document-pipeline queries that __spark_entry__.py registers."""
+"""The document-pipeline queries that __spark_entry__.py registers, and the same queries in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquire.functions.text import BLANKS, NO_TEXT, TAG, html_text, normalise
+from docquire.operators import fields
+from docquire.plans import summaries
+from docquire.sources import tables
+
 FLAGSHIP = "corpus_summary"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.corpus_summary(tables.read(spark, sf_dir, "documents"))
+
+
+def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.profile(tables.read(spark, sf_dir, "documents"))
+
+
+def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.host_counts(tables.read(spark, sf_dir, "pages"))
+
+
+def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.label_coverage(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels"))
+
+
+def unified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.unify(spark, sf_dir)
+
+
+def assembled_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.assemble(tables.read(spark, sf_dir, "conversations"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents").select("doc_id", normalise(F.col("text")).alias("text"))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.extract(tables.read(spark, sf_dir, "documents"))
+
+
+def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select("doc_id", "field", F.col("ordinal").cast("int").alias("ordinal"), "value")
+
+
+def field_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.to_record(_fields(spark, sf_dir), list(fields.RULES))
+
+
+def _violations(records: DataFrame) -> DataFrame:
+    parts = F.transform(F.split("ip", "[.]"), lambda x: x.cast("int"))
+    return fields.validate(records, {"ip_range": ("ip", ~F.exists(parts, lambda x: x > 255)), "no_secret": ("secret", F.col("secret").isNull())})
+
+
+def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _violations(field_records(spark, sf_dir))
+
+
+def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = field_records(spark, sf_dir)
+    return fields.route(records, _violations(records))[0].select("doc_id", "n_values")
+
+
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.link(_fields(spark, sf_dir)).select("field", "value", "doc_id", "first_doc")
+
+
+def consolidated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.consolidate(_fields(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (corpus_summary, document_profile, host_counts, label_coverage, unified_documents, assembled_conversations, page_texts, normalised_texts, extracted_fields, field_records, record_violations, accepted_records, linked_documents, consolidated_values)}
+
+
+def _squeeze(text: str) -> str:
+    return f"trim(regexp_replace({text}, '{BLANKS}', ' ', 'g'))"
+
+
+def _page(html: str) -> str:
+    for p in [*NO_TEXT, TAG]:
+        html = f"regexp_replace({html}, '{p}', ' ', 'g')"
+    return _squeeze(html)
+
+
+_HOST = r"regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+_TALK = "SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_turns FROM conversations GROUP BY conv_id"
+_HITS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, regexp_extract_all(text, '{p}') AS hits FROM documents" for f, p in fields.RULES.items())
+_FIELDS = f"SELECT doc_id, field, (unnest(range(len(hits))))::INT AS ordinal, unnest(hits) AS value FROM ({_HITS}) WHERE len(hits) > 0"
+_RECORDS = f"SELECT doc_id, {', '.join(f'''min(CASE WHEN field = '{n}' THEN value END) AS {n}''' for n in fields.RULES)}, count(*) AS n_values FROM ({_FIELDS}) GROUP BY doc_id"
+_BROKEN = f"SELECT doc_id, 'ip_range' AS rule_id, 'ip' AS field FROM ({_RECORDS}) WHERE len(list_filter(string_split(ip, '.'), lambda x: x::INT > 255)) > 0 UNION ALL SELECT doc_id, 'no_secret', 'secret' FROM ({_RECORDS}) WHERE secret IS NOT NULL"
+_CLEAN = _squeeze("coalesce(text, '')")
+
+ORACLE_SQL: dict[str, str] = {
+    "corpus_summary": "SELECT lang, source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY ROLLUP (lang, source)",
+    "document_profile": f"SELECT doc_id, length(text) AS length, CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(string_split({_CLEAN}, ' ')) END AS n_words, CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(list_distinct(string_split({_CLEAN}, ' '))) END AS n_distinct FROM documents",
+    "host_counts": f"SELECT {_HOST} AS host, count(*) AS n_pages FROM pages GROUP BY 1",
+    "label_coverage": "SELECT source, count(*) AS n_docs, count(quality) AS n_labelled, coalesce(sum(quality), 0)::BIGINT AS n_good, coalesce(sum(toxic), 0)::BIGINT AS n_toxic FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source",
+    "unified_documents": f"SELECT 'documents' AS src_table, doc_id::VARCHAR AS doc_key, text, lang, source FROM documents UNION ALL SELECT 'pages', page_id::VARCHAR, {_page('html')}, NULL, {_HOST} FROM pages UNION ALL SELECT 'conversations', conv_id::VARCHAR, text, NULL, NULL FROM ({_TALK})",
+    "assembled_conversations": _TALK,
+    "page_texts": f"SELECT page_id, {_page('html')} AS text FROM pages",
+    "normalised_texts": f"SELECT doc_id, {_squeeze('lower(text)')} AS text FROM documents",
+    "extracted_fields": _FIELDS,
+    "field_records": _RECORDS,
+    "record_violations": _BROKEN,
+    "accepted_records": f"SELECT doc_id, n_values FROM ({_RECORDS}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_BROKEN}))",
+    "linked_documents": f"WITH o AS (SELECT DISTINCT field, value, doc_id FROM ({_FIELDS})), f AS (SELECT field, value, min(doc_id) AS first_doc FROM o GROUP BY ALL) SELECT field, value, doc_id, first_doc FROM o JOIN f USING (field, value) WHERE doc_id <> first_doc",
+    "consolidated_values": f"SELECT field, value, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS n_docs, count(*) AS n_values FROM ({_FIELDS}) GROUP BY ALL",
+}
