@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,21 @@ from docquire.llm.common import spread
 #: Pre-token pattern of the 50k byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks remembered by a task before its cache is emptied.
-CACHE = 200_000
+CACHE = 400_000
 _SAFE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 _SPACE_BETWEEN = regex.compile(r"\s \s|\s \Z")
 
 
+_process: dict = {}
+
+
+def _remembered(name: tuple, make):
+    """What a Python worker keeps from task to task: the caches are bounded, and only save work."""
+    if name not in _process:
+        _process[name] = make()
+    return _process[name]
+
+
 def chunks(text: str) -> list[str]:
     """Cut at single spaces between visible characters, where a pre-token always starts.
 
@@ -42,42 +53,52 @@ def chunks(text: str) -> list[str]:
     return [parts[0], *map(" ".__add__, parts[1:])] if len(parts) > 1 else parts
 
 
-def merge(symbols: int, rank_of_pair) -> list[int]:
-    """Merge the lowest-ranked adjacent pair until none is left; gives the start of each symbol that remains.
+def merge(raw: bytes, ranks: dict) -> list[bytes]:
+    """Merge the lowest-ranked adjacent pair of symbols until none is left, from single bytes on.
 
-    rank_of_pair(start, middle, end) is the rank of joining [start, middle) and [middle, end), or None. Symbols form a
-    linked list; a heap holds candidate pairs, and an entry counts only while both its symbols are unchanged.
+    ranks gives the rank of a pair (left, right) of symbols. Symbols form a linked list by their start; a heap holds
+    candidate pairs as (rank, left start, right start, end), and an entry counts only while both its symbols are
+    unchanged.
     """
-    after = list(range(1, symbols + 1))
-    before = list(range(-1, symbols - 1))
-    heap = []
-
-    def offer(left: int) -> None:
-        right = after[left]
-        if right < symbols:
-            end = after[right]
-            rank = rank_of_pair(left, right, end)
-            if rank is not None:
-                heapq.heappush(heap, (rank, left, right, end))
-
-    for i in range(symbols - 1):
-        offer(i)
+    n = len(raw)
+    if n < 2:
+        return [raw] if n else []
+    symbol = [raw[i : i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank_of, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank_of((symbol[i], symbol[i + 1]))) is not None]
+    heapq.heapify(heap)
     while heap:
-        _, left, right, end = heapq.heappop(heap)
+        _, left, right, end = pop(heap)
         if after[left] != right or after[right] != end:
             continue
-        after[left] = end
-        after[right] = -1
-        if end < symbols:
+        joined = symbol[left] = symbol[left] + symbol[right]
+        after[left], after[right] = end, -1
+        if end < n:
             before[end] = left
-        offer(left)
-        if before[left] >= 0:
-            offer(before[left])
-    starts, i = [], 0
-    while i < symbols:
-        starts.append(i)
+            rank = rank_of((joined, symbol[end]))
+            if rank is not None:
+                push(heap, (rank, left, end, after[end]))
+        previous = before[left]
+        if previous >= 0:
+            rank = rank_of((symbol[previous], joined))
+            if rank is not None:
+                push(heap, (rank, previous, left, end))
+    out, i = [], 0
+    while i < n:
+        out.append(symbol[i])
         i = after[i]
-    return starts
+    return out
+
+
+class JoinedRanks:
+    """Rank of a pair of symbols in a rank file: that of the token they make together."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def get(self, pair: tuple[bytes, bytes]) -> int | None:
+        return self.ranks.get(pair[0] + pair[1])
 
 
 # --- counting -------------------------------------------------------------------------------------------------------
@@ -118,7 +139,7 @@ class ChunkCounts(dict):
         known = self.pieces.get(piece)
         if known is None:
             raw, ranks = piece.encode(), self.merges
-            known = len(merge(len(raw), lambda a, b, c: ranks.get((raw[a:b], raw[b:c]))))
+            known = len(merge(raw, ranks))
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
             if len(raw) <= 64:
@@ -138,7 +159,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, added = shared.value
-        counts = ChunkCounts(merges)
+        counts = _remembered(("counts", path), lambda: ChunkCounts(merges))
         special = regex.compile("|".join(map(regex.escape, added))) if added else None
         for batch in batches:
             tokens = []
@@ -209,11 +230,8 @@ class PerfectHash:
 
 
 def hash_bytes(key: bytes) -> int:
-    """FNV-1a over 64 bits: the same in every process, unlike Python's own hash of bytes."""
-    h = 0xCBF29CE484222325
-    for byte in key:
-        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h
+    """Two checksums side by side: the same in every process, unlike Python's own hash of bytes."""
+    return zlib.crc32(key) << 32 | zlib.adler32(key)
 
 
 def spot(base: int, displacement: int, size: int) -> int:
@@ -225,27 +243,32 @@ def spot(base: int, displacement: int, size: int) -> int:
 class ChunkIds(dict):
     """Ids of each chunk: whole pre-tokens through the perfect hash, the others by merging."""
 
-    LONGEST = 128
+    LONGEST = 128  # bytes of the longest token, and more
 
     def __init__(self, table: PerfectHash):
-        self.table, self.split = table, regex.compile(PATTERN).findall
+        self.table, self.split, self.pieces = table, regex.compile(PATTERN).findall, {}
+        self.ranks = {token: i for i, token in enumerate(table.tokens)}
+        self.pairs = JoinedRanks(self.ranks)
 
     def __missing__(self, chunk: str) -> list[int]:
         ids = []
         for piece in self.split(chunk):
-            raw = piece.encode()
-            whole = self.table.get(raw) if len(raw) <= self.LONGEST else None
-            ids += self.merged(raw) if whole is None else [whole]
+            ids += self.pieces.get(piece) or self.piece(piece)
         if len(self) >= CACHE:
             self.clear()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
-    def merged(self, raw: bytes) -> list[int]:
-        look = self.table.get
-        starts = merge(len(raw), lambda a, _, c: look(raw[a:c]) if c - a <= self.LONGEST else None)
-        return [look(raw[a:b]) for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+    def piece(self, piece: str) -> list[int]:
+        raw = piece.encode()
+        whole = self.table.get(raw) if len(raw) <= self.LONGEST else None
+        ids = [self.ranks[t] for t in merge(raw, self.pairs)] if whole is None else [whole]
+        if len(self.pieces) >= CACHE:
+            self.pieces.clear()
+        if len(raw) <= 64:
+            self.pieces[piece] = ids
+        return ids
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -258,7 +281,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(shared.value)
+        known = _remembered(("ids", path), lambda: ChunkIds(shared.value))
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
