@@ -1,0 +1,207 @@
+"""The training-data operators against brute force on small tables with nulls, ties, repeats and odd texts."""
+
+import base64
+import random
+
+import numpy as np
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from docquire.llm import ann, bpe, chaining, common, decontam, jaccard, langid, licences, quality, repeats
+from docquire.llm.queries import TOKENIZERS
+
+DOCS = "doc_id long, text string, score string, _row int"
+
+
+def frame(spark, texts, start=0):
+    return spark.createDataFrame([(start + i, t, "x", 1) for i, t in enumerate(texts)], DOCS)
+
+
+def sentence(rng, n, size=400):
+    return " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [sentence(rng, rng.randint(3, 150)) for _ in range(40)]
+    near = [" ".join("zz" if rng.random() < 0.02 else w for w in t.split()) for t in base[:15]]
+    shared = sentence(rng, 80)
+    joined = [sentence(rng, 20) + " " + shared + " " + sentence(rng, 30) for _ in range(4)]
+    return base + near + base[3:6] + joined + [None, "", " ", "one", "a b c d", "Ünï çødé 漢字 \t\n", "x " * 3000]
+
+
+def test_base_places_and_markup(spark):
+    got = licences.scan_licences(frame(spark, ["the MIT licence; MIT-License, mit license", None, "Licensed under a Creative Commons CC BY-SA 4.0 international"])).orderBy("doc_id").collect()
+    assert (got[0]["n_base"], got[0]["first_word"], got[0]["last_word"], got[0]["base_labels"]) == (2, 3, 5, "mit")
+    assert (got[1]["n_words"], got[1]["first_word"], got[1]["labels"]) == (0, None, "")
+    assert got[2]["labels"] == "cc-by,cc-by-variant" and 0 < got[2]["score"] <= 1
+
+
+def test_template_regions():
+    a = licences.compile_template("t", "one [[ two ]] <<2>> end")
+    match = lambda s: a.match(s.encode().split(), 0)
+    assert [match(s) for s in ("one end", "one two end", "one x y end", "one two x y end", "one x y z q end", "one")] == [2, 3, 4, 5, None, None]
+
+
+def test_language_needs_a_letter(spark):
+    rows = [(i, "the cat and the dog " * 5, "en") for i in range(8)] + [(10 + i, "der hund und die katze " * 5, "de") for i in range(8)]
+    filters = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = langid.identify(frame(spark, ["the dog", "die katze", None, "", "123 !"]), filters).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in found] == ["en", "de", "und", "und", "und"]
+    assert langid.identify(frame(spark, ["the dog"]), langid.LanguageFilters.build({})).first()["lang_pred"] == "und"
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_windows_against_brute_force(spark, texts, limit):
+    rng = random.Random(1)
+    items = [("1", " ".join(texts[3].split()[2:20])), ("2", sentence(rng, 30)), ("3", "one"), ("4", None), ("5", " ".join((texts[-11] or "").split()[5:40])), ("6", "a B, c"), ("7", "")]
+    summary, _ = decontam.decontaminate(frame(spark, texts), spark.createDataFrame(items, "item_id string, text string"), broadcast_rows=limit)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["item_ids"])) for r in summary.collect()}
+    for i, text in enumerate(texts):
+        words = common.ascii_words((text or "").encode())
+        hit, names = set(), set()
+        for name, item in items:
+            w = common.ascii_words((item or "").encode())
+            n = min(10, len(w))
+            for a in range(len(w) - n + 1 if n else 0):
+                for b in range(len(words) - n + 1):
+                    if words[b : b + n] == w[a : a + n]:
+                        hit.update(range(b, b + n))
+                        names.add(name)
+        assert got[i] == (len(words), len(hit), sorted(names))
+
+
+def odd_texts(texts):
+    rng = random.Random(2)
+    alphabet = "ab é1 \n\t\r.'s! 　日\x1c\x85A  "
+    return [t for t in texts if t] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["a" * 3000, "<|endoftext|> x<|endoftext|>", " "]
+
+
+def test_token_counts_match_the_library(spark, texts):
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    all_texts = [*odd_texts(texts), None]
+    got = {r["doc_id"]: r for r in bpe.count_tokens(frame(spark, all_texts), path, 1024).collect()}
+    library = Tokenizer.from_file(path)
+    for i, t in enumerate(all_texts):
+        assert (got[i]["n_tokens"], got[i]["n_bytes"]) == (len(library.encode(t or "", add_special_tokens=False).ids), len((t or "").encode()))
+
+
+def test_encoding_round_trip(spark, texts):
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    all_texts = [*odd_texts(texts), None]
+    got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(frame(spark, all_texts), path), path).collect()}
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, t in enumerate(all_texts):
+        assert got[i]["ids"] == library.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
+
+
+def test_linear_time_pairs_equal_the_double_sum():
+    rng = np.random.default_rng(0)
+    model = quality.FactorisationMachine(0.1, rng.normal(size=quality.FEATURES), rng.normal(size=(quality.FEATURES, 4)) * 0.1)
+    at, x = quality.features(b"some words, some WORDS and 12 more")
+    z = 0.1 + model.linear[at] @ x + sum(model.factors[at[i]] @ model.factors[at[j]] * x[i] * x[j] for i in range(len(at)) for j in range(i))
+    assert model.score(at, x) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_quality_learns_and_scores_empty_texts(spark):
+    rng = random.Random(3)
+    texts = [sentence(rng, 40) if i % 2 else " ".join("###" for _ in range(40)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1)], "doc_id long, quality int")
+    docs = frame(spark, [*texts, None, ""])
+    got = quality.score(docs, quality.learn(docs, labels)).orderBy("doc_id").collect()
+    assert sum(r["predicted"] == i % 2 for i, r in enumerate(got[100:200])) >= 98
+    assert got[200]["score"] == got[201]["score"] and 0 <= got[200]["score"] <= 1
+
+
+@pytest.mark.parametrize("bucket", [0, 4096])
+def test_repeated_bytes_against_brute_force(spark, texts, bucket):
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, texts), bucket=bucket).collect()}
+    raw = [(t or "").encode() for t in texts]
+    seen = {}
+    for b in raw:
+        for s in range(len(b) - 199):
+            seen[b[s : s + 200]] = seen.get(b[s : s + 200], 0) + 1
+    for i, b in enumerate(raw):
+        gone = set()
+        for s in range(len(b) - 199):
+            if seen[b[s : s + 200]] > 1:
+                gone.update(range(s, s + 200))
+        assert bytes(got[i]["kept"]) == bytes(c for j, c in enumerate(b) if j not in gone)
+        assert len(got[i]["spans"]) == sum(j not in gone and j + 1 in gone or j == -1 and 0 in gone for j in range(-1, len(b)))
+
+
+def test_common_prefix_intervals():
+    assert list(repeats.intervals([2, 3, 0, 1])) == [(3, 1, 2), (2, 0, 2), (1, 3, 4)]
+
+
+def test_jaccard_components_against_brute_force(spark, texts):
+    members, _ = jaccard.link_documents(frame(spark, texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in members.collect()}
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    group = list(range(len(sets)))
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(a):
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    assert got == {i: (len(s), g) for i, (s, g) in enumerate(zip(sets, group))}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, 201)], "a long, b long")
+    got = {r["node"]: r["component"] for r in common.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), 200: 200, 201: 200}
+
+
+def test_passages_are_found_and_removed(spark, texts):
+    docs = frame(spark, texts)
+    passages = chaining.find_passages(docs)
+    at = len(texts) - 11
+    found = {r["doc_id"] for r in passages.collect()}
+    assert {at + 1, at + 2, at + 3} <= found and at not in found
+    left = {r["doc_id"]: r["text"] for r in chaining.remove_passages(docs, passages).collect()}
+    assert all(left[i] == t for i, t in enumerate(texts) if i not in found)
+    assert len(left[at + 1].split()) == 50
+
+
+def test_chain_bridges_gaps_but_not_disorder():
+    assert chaining.chain([0, 10, 20, 30], [100, 110, 121, 131], 6, 0.05) == [(0, 36, 100, 137)]
+    assert len(chaining.chain([0, 10, 20], [20, 10, 0], 6, 0.05)) == 3
+
+
+def test_nearest_has_recall_and_skips_bad_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(600)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (None, [1.0] * 16)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()
+    unit = np.array([r[1] for r in rows[:600]], dtype=np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 600, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(set(np.argsort(-near)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.9 * 60 and len(got) == 60 and all(0 <= r["vec_id"] < 600 for r in got)
+
+
+def test_pigeonhole_finds_every_code():
+    rng = np.random.default_rng(1)
+    packed = rng.integers(0, 256, size=(500, 4), dtype=np.uint8)
+    for radius in (0, 3, 9, 14):
+        assert set(ann.MultiIndex(packed).within(packed[7], radius).tolist()) == set(np.flatnonzero(np.bitwise_count(packed ^ packed[7]).sum(axis=1) <= radius).tolist())
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert licences.scan_licences(none).count() == bpe.count_tokens(none, f"{TOKENIZERS}/byte_bpe_50k.json", 9).count() == 0
+    assert repeats.remove_repeats(none).count() == jaccard.link_documents(none)[0].count() == chaining.find_passages(none).count() == 0
+    assert decontam.decontaminate(none, spark.createDataFrame([], "item_id string, text string"))[0].count() == 0
+    assert ann.nearest(vectors, vectors).count() == 0
