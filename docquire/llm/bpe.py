@@ -12,7 +12,9 @@ import base64
 import heapq
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,16 +93,6 @@ def merge(raw: bytes, ranks: dict) -> list[bytes]:
     return out
 
 
-class JoinedRanks:
-    """Rank of a pair of symbols in a rank file: that of the token they make together."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-
-    def get(self, pair: tuple[bytes, bytes]) -> int | None:
-        return self.ranks.get(pair[0] + pair[1])
-
-
 # --- counting -------------------------------------------------------------------------------------------------------
 
 
@@ -240,35 +232,69 @@ def spot(base: int, displacement: int, size: int) -> int:
     return (h ^ h >> 32) % size
 
 
+def merged_ids(raw: bytes, rank_of) -> list[int]:
+    """Ids of the tokens left when the lowest-ranked adjacent pair is merged until none is, from single bytes on.
+
+    A symbol is a slice of raw, linked to the starts of its neighbours; rank_of gives the rank (and id) of a slice, or
+    None. A heap entry packs rank, left start and end of a pair into one integer, and counts only while two symbols fill it.
+    """
+    n = len(raw)
+    after, before, wide = [*range(1, n + 1), -1], list(range(-1, n)), n + 1
+    push, pop = heapq.heappush, heapq.heappop
+    heap = [(r * wide + i) * wide + i + 2 for i in range(n - 1) if (r := rank_of(raw[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rest, end = divmod(pop(heap), wide)
+        left = rest % wide
+        right = after[left]
+        if after[right] != end:
+            continue
+        after[left], after[right], before[end] = end, -1, left
+        if end < n and (r := rank_of(raw[left : after[end]])) is not None:
+            push(heap, (r * wide + left) * wide + after[end])
+        previous = before[left]
+        if previous >= 0 and (r := rank_of(raw[previous:end])) is not None:
+            push(heap, (r * wide + previous) * wide + end)
+    ids, i = [], 0
+    while i < n:
+        ids.append(rank_of(raw[i : after[i]]))
+        i = after[i]
+    return ids
+
+
 class ChunkIds(dict):
-    """Ids of each chunk: whole pre-tokens through the perfect hash, the others by merging."""
+    """Ids of each chunk and pre-token: whole pre-tokens through the perfect hash, the others by merging.
+
+    A pre-token taken by itself is split no further, so one bounded store serves both.
+    """
 
     LONGEST = 128  # bytes of the longest token, and more
 
     def __init__(self, table: PerfectHash):
-        self.table, self.split, self.pieces = table, regex.compile(PATTERN).findall, {}
-        self.ranks = {token: i for i, token in enumerate(table.tokens)}
-        self.pairs = JoinedRanks(self.ranks)
+        self.table, self.split = table, regex.compile(PATTERN).findall
+        self.rank_of = {token: i for i, token in enumerate(table.tokens)}.get
 
     def __missing__(self, chunk: str) -> list[int]:
-        ids = []
-        for piece in self.split(chunk):
-            ids += self.pieces.get(piece) or self.piece(piece)
-        if len(self) >= CACHE:
-            self.clear()
+        pieces = self.split(chunk)
+        if len(pieces) == 1:
+            ids = self.piece(chunk)
+        else:
+            ids = []
+            for piece in pieces:
+                ids += self.get(piece) or self.keep(piece, self.piece(piece))
+        return self.keep(chunk, ids)
+
+    def keep(self, chunk: str, ids: list[int]) -> list[int]:
         if len(chunk) <= 64:
+            if len(self) >= 2 * CACHE:
+                self.clear()
             self[chunk] = ids
         return ids
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode()
         whole = self.table.get(raw) if len(raw) <= self.LONGEST else None
-        ids = [self.ranks[t] for t in merge(raw, self.pairs)] if whole is None else [whole]
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        if len(raw) <= 64:
-            self.pieces[piece] = ids
-        return ids
+        return merged_ids(raw, self.rank_of) if whole is None else [whole]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -285,13 +311,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                offsets, flat = [0], []
+                offsets, flat = [0], array("i")
                 for value in batch.column(column).to_pylist():
                     if value:
-                        for part in map(known.__getitem__, chunks(value)):
-                            flat += part
+                        flat.extend(chain.from_iterable(map(known.__getitem__, chunks(value))))
                     offsets.append(len(flat))
-                found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
+                found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, ids])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
@@ -304,11 +329,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     column = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        token = dict(enumerate(shared.value)).__getitem__
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                values = [None if x is None else b"".join(map(token, x)) for x in batch.column(column).to_pylist()]
+                found = batch.column(column)
+                bounds, known = found.offsets.to_pylist(), found.is_valid().to_pylist()
+                flat = found.values.slice(bounds[0], bounds[-1] - bounds[0]).to_numpy().tolist()
+                values = [b"".join(map(token, flat[a - bounds[0] : b - bounds[0]])) if ok else None for a, b, ok in zip(bounds, bounds[1:], known)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -99,6 +99,15 @@ def test_encoding_round_trip(spark, texts):
         assert got[i]["ids"] == library.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
 
 
+def test_decoding_null_and_unknown_ids(spark):
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [64, 65]), (4, None)], "doc_id long, ids array<int>").coalesce(1)
+    assert [r["decoded"] for r in bpe.decode(rows, path).orderBy("doc_id").collect()] == [None, b"", bpe.read_ranks(path)[64] + bpe.read_ranks(path)[65], None]
+    for wrong in (-1, 50256, None):
+        with pytest.raises(Exception):
+            bpe.decode(spark.createDataFrame([(1, [wrong])], "doc_id long, ids array<int>"), path).collect()
+
+
 def test_linear_time_pairs_equal_the_double_sum():
     rng = np.random.default_rng(0)
     model = quality.FactorisationMachine(0.1, rng.normal(size=quality.FEATURES), rng.normal(size=(quality.FEATURES, 4)) * 0.1)
