@@ -183,18 +183,17 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
     labels, links, open_groups = None, None, groups.withColumn("component", F.col("id"))
     for step in range(STARS + 1):
         if labels is not None:
-            labelled = groups.join(labels.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = labelled.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-            open_groups = labelled.join(mixed.hint("merge"), "token")
+            open_groups = groups.join(labels.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         pairs = _across if step == STARS else _stars(step)
         pairs = partial(pairs, percent=percent)
         found = open_groups.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(pairs, "x long, y long, nx int, ny int")
         chosen = written(found.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).where(may_link).select("x", "y"), "pairs")
         if chosen.isEmpty():
             continue
-        more = _compare(source, chosen, order, k, percent)
+        more = _compare(source, rows, chosen, order, k, percent)
         links = more if links is None else links.union(more)
-        labels = components(links)
+        known = more if labels is None else more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = written(components(known), "labels")
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
         labels = spark.createDataFrame([], "node long, component long")
@@ -209,6 +208,15 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
     return members, links
 
 
+def _open(part: pa.Table) -> pa.Table:
+    """The table without the shingles whose sets are all in one component."""
+    if not part.num_rows:
+        return part
+    bounds, group = _bounds(part, ["token"]), part.column("component").to_numpy()
+    mixed = np.minimum.reduceat(group, bounds[:-1]) != np.maximum.reduceat(group, bounds[:-1])
+    return part.filter(pa.array(np.repeat(mixed, np.diff(bounds))))
+
+
 def _stars(step: int):
     """Pairs of a shared shingle between its sets and a few leaders, which are the same for all shingles they have.
 
@@ -217,7 +225,7 @@ def _stars(step: int):
     """
 
     def pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, ["token"]):
+        for part in filter(len, map(_open, _groups(batches, ["token"]))):
             ids, n, group = (part.column(c).to_numpy() for c in ("id", "n", "component"))
             rank = mix(ids.view(np.uint64) + np.uint64(step))
             bounds, xs, ys = _bounds(part, ["token"]), [], []
@@ -245,7 +253,7 @@ def _stars(step: int):
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of a shared shingle whose sets are in different components and of comparable sizes."""
-    for part in _groups(batches, ["token"]):
+    for part in filter(len, map(_open, _groups(batches, ["token"]))):
         ids, n, group = (part.column(c).to_numpy() for c in ("id", "n", "component"))
         bounds, xs, ys, size = _bounds(part, ["token"]), [], [], 0
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -261,15 +269,23 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                     xs, ys, size = [], [], 0
 
 
-def _compare(source: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """Those of the pairs x, y of set ids whose sets reach the threshold, as a, b."""
+def _compare(source: DataFrame, rows: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
+    """Those of the pairs x, y of set ids whose sets reach the threshold, as a, b.
+
+    The texts are read again, and those of one row for each set are hashed (of rows without a key, all).
+    """
     spark = source.sparkSession
     wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
     bits = spark.sparkContext.broadcast(bit_filter(wanted, "id", _FILTER_BITS))
+    carriers = rows.groupBy(F.col("set_id").alias("id")).agg(F.min("key").alias("key")).where("key is not null")
+    hashed = carriers.join(wanted.hint("merge"), "id", "left_semi").select(F.xxhash64("key").alias("key"))
+    key_bits = spark.sparkContext.broadcast(bit_filter(hashed, "key", _FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered, allowed = order.value, bits.value
-        for batch in batches:
+        ordered, allowed, carrying = order.value, bits.value, key_bits.value
+        for whole in batches:
+            keyed = whole.column(2).to_numpy().view(np.uint64)
+            batch = whole.filter(pa.array(in_filter(carrying, keyed) | whole.column(0).is_null().to_numpy(zero_copy_only=False)))
             ids, values = [], []
             for found in _sets(batch.column(1), k):
                 if len(found) and in_filter(allowed, np.array([set_id(found)], dtype=np.int64).view(np.uint64))[0]:
@@ -277,7 +293,7 @@ def _compare(source: DataFrame, pairs: DataFrame, order, k: int, percent: int) -
                     values.append(ordered.sort(found).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["id", "tokens"])
 
-    known = written(source.mapInArrow(sets, "id long, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens")), "members")
+    known = written(source.withColumn("hash", F.xxhash64("key")).mapInArrow(sets, "id long, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens")), "members")
     # a leader's many sets are split into parts of about 256, each with the leader's own set
     parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / 256).alias("parts"))
     dealt = pairs.join(parts.hint("merge"), "x").withColumn("part", F.pmod(F.xxhash64("y"), "parts"))
