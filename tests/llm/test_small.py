@@ -185,6 +185,15 @@ def test_chain_bridges_gaps_but_not_disorder():
     assert len(chaining.chain([0, 10, 20], [20, 10, 0], 6, 0.05)) == 3
 
 
+@pytest.mark.parametrize("gap", [100, 200, 300])
+def test_two_passages_with_unrelated_words_between(spark, gap):
+    rng = random.Random(gap)
+    head, foot = sentence(rng, 60, 9000), sentence(rng, 60, 9000)
+    docs = [f"{head} {sentence(rng, gap, 9000)} {foot}" for _ in range(2)]
+    got = [(r["start"], r["end"]) for r in chaining.find_passages(frame(spark, docs)).collect() if r["doc_id"] == 1]
+    assert len(got) == 2 and all(any(a <= s and e <= b for a, b in got) for s, e in ((0, 60), (60 + gap, 120 + gap)))
+
+
 def test_nearest_has_recall_and_skips_bad_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(600)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (None, [1.0] * 16)]
