@@ -194,6 +194,27 @@ def test_two_passages_with_unrelated_words_between(spark, gap):
     assert len(got) == 2 and all(any(a <= s and e <= b for a, b in got) for s, e in ((0, 60), (60 + gap, 120 + gap)))
 
 
+def test_passage_of_later_documents_and_of_repeated_words(spark):
+    rng = random.Random(11)
+    some = lambda n: sentence(rng, n, 9000)
+    whole = some(60)
+    part = " ".join(whole.split()[:40])
+    docs = [f"{some(30)} {part} {some(30)}", f"{some(30)} {part} {some(30)}", f"{some(20)} {whole} {some(20)}", f"{some(40)} {whole} {some(9)}"]
+    docs += ["y " * 7 + some(20) + " y" * 70, some(30) + " y" * 55 + " " + some(20) + " y" * 60, "z " * 49, "z " * 80 + some(9)]
+    got = [{i for r in rows if r["doc_id"] == d for i in range(r["start"], r["end"])} for rows in [chaining.find_passages(frame(spark, docs)).collect()] for d in range(len(docs))]
+    assert got[3] >= set(range(40, 100)) and got[5] >= {*range(30, 85), *range(105, 165)}
+    assert not any(got[i] for i in (0, 1, 2, 4, 6, 7))
+
+
+def test_altered_passage_of_later_documents(spark):
+    rng = random.Random(12)
+    whole = sentence(rng, 120, 9000).split()
+    changed = [w if i % 30 else "other" for i, w in enumerate(whole)]
+    docs = [sentence(rng, 30, 9000) + " " + " ".join(whole[30:70]), " ".join(whole), " ".join(changed)]
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.find_passages(frame(spark, docs)).collect() if r["end"] - r["start"] > 100}
+    assert got == {(2, 1)}
+
+
 def test_nearest_has_recall_and_skips_bad_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(600)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (None, [1.0] * 16)]
