@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,54 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def slices(column: pa.Array, rows: int = 512) -> Iterator[pa.Array]:
+    """Parts of a column of a batch, so that not all its values become Python objects at once."""
+    for start in range(0, len(column), rows):
+        yield column.slice(start, rows)
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys from a sorted stream; the open run waits for the batches it goes on in."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        same = np.ones(n, dtype=bool)
+        for c in columns:
+            same &= c == c[-1]
+        cut = n - int(np.argmin(same[::-1])) if not same.all() else 0
+        now = pa.Table.from_batches([batch])
+        if held and last != [c[0] for c in columns]:
+            yield pa.concat_tables(held)
+            held = []
+        if cut:
+            yield pa.concat_tables([*held, now.slice(0, cut)])
+            held = []
+        held.append(now.slice(cut))
+        last = [c[-1] for c in columns]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the runs of equal keys start in a sorted table, and its end."""
+    change = np.zeros(table.num_rows, dtype=bool)
+    change[0] = True
+    for k in keys:
+        c = table.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(change), table.num_rows)
+
+
+def ragged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the ranges from each start to its end, one range after another."""
+    lengths = ends - starts
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -64,7 +113,7 @@ _BYTE = np.random.default_rng(4242).integers(1 << 62, dtype=np.uint64, size=256)
 _POWER = np.ones(1 << 16, dtype=np.uint64)
 _POWER[1:] = np.multiply.accumulate(np.full((1 << 16) - 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
 _ODD = np.random.default_rng(20240607).integers(1 << 62, dtype=np.uint64, size=64) * np.uint64(2) + np.uint64(1)
-_PORTION = 1 << 20
+_PORTION = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

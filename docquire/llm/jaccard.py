@@ -1,32 +1,36 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, and the groups they form.
 
 Sets are kept in one global order of shingles, frequent ones last. Two sets that reach the threshold share a shingle of
-their prefixes (the first n - ceil(t n) + 1), so the join runs on prefix shingles. Within a shared shingle the sets hang
-in a prefix tree, which is walked in depth-first order: a set reuses the overlap counted for the path it shares with
-the set before it, and is left as soon as its remaining length can't make up the overlap it needs.
-
-Only which sets are connected matters, so pairs inside a group are not listed. In a few rounds every set is compared with
-a few leaders it shares prefix shingles with (if these may suffice), and what links becomes one component. Then each pair
-of sets still in different components that share enough prefix shingles to reach the threshold is compared. No pair that
-could connect two components is left out.
+their prefixes (the first n - ceil(t n) + 1), so:
+
+1. Sets that share a prefix shingle and aren't too unlike in size are put in one cluster: a star for each shingle, so
+   rows stay in proportion to prefix rows, then connected components. No pair that links is in two clusters.
+2. Each clustered set is fetched once. A cluster's sets hang in a prefix tree, common shingles first. The tree is walked
+   depth first with the overlap that every other set has with the path so far, shared by all sets below; sets whose
+   remaining length can't make up the overlap that is needed are left out, and a subtree for which none is left is skipped.
+3. Only what connects components is returned: a link for each set at most. Clusters too large for a task are dealt into
+   slices, each walked together with the cluster's leaders; then what is outside the cluster's largest component is walked
+   against every slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquire.llm.common import bit_filter, components, gram_hashes, in_filter, mix, portions, signed, spread, word_hashes, written
+from docquire.llm.common import bit_filter, components, gram_hashes, group_bounds, groups, in_filter, mix, portions, ragged, signed, slices, spread, word_hashes, written
 
 #: Most shingles that the global order ranks by frequency; the order of the others is by hash. Any order gives the same links.
 FREQUENT = 1_000_000
-#: Rounds of comparisons with leaders before all pairs that are still open, and leaders of a shingle in each round.
-STARS, LEADERS = 3, 3
+#: Sets of one shingle, by its frequency, that go to one task.
+PART = 16_384
+#: Shingles (and 64 more for each set) that a task's slice of a cluster holds; one set at least.
+SLICE = 1_000_000
+_POOL = 1_000_000
 _FILTER_BITS = 1 << 26
 _NONE = np.empty(0, dtype=np.uint64)
 
@@ -44,9 +48,10 @@ def shingle_sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    texts = column.to_pylist()
-    for a, b in portions(len(t or b"") for t in texts):
-        yield from shingle_sets(texts[a:b], k)
+    for part in slices(column):
+        texts = part.to_pylist()
+        for a, b in portions(len(t or b"") for t in texts):
+            yield from shingle_sets(texts[a:b], k)
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -61,58 +66,58 @@ class Order:
         at = np.argsort(frequent)
         self.frequent, self.counts = frequent[at], counts[at]
 
-    def sort(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.frequent) or not len(shingles):
-            return shingles
-        at = np.minimum(np.searchsorted(self.frequent, shingles), len(self.frequent) - 1)
-        common = self.frequent[at] == shingles
-        if not common.any():
-            return shingles
-        last = shingles[common]
-        return np.concatenate([shingles[~common], last[np.argsort(self.counts[at[common]], kind="stable")]])
+    def prefix(self, shingles: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first shingles of a set in the order, and how frequent each is (0 for those outside)."""
+        often = np.zeros(len(shingles), dtype=np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, shingles), len(self.frequent) - 1)
+            often = np.where(self.frequent[at] == shingles, self.counts[at], 0)
+        first = np.argsort(often, kind="stable")[:length]
+        return shingles[first], often[first]
 
 
-def _overlap_needed(a: int, b: int, percent: int) -> int:
+def _needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal keys from a sorted stream; the open run waits for the next batch."""
-    held = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if not now.num_rows:
-            continue
-        columns = [now.column(k).to_numpy() for k in keys]
-        same = np.ones(now.num_rows, dtype=bool)
-        for c in columns:
-            same &= c == c[-1]
-        cut = now.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield now.slice(0, cut)
-        held = now.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
-    change = np.zeros(table.num_rows, dtype=bool)
-    change[0] = True
-    for k in keys:
-        c = table.column(k).to_numpy()
-        change[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(change), table.num_rows)
-
-
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: key, n_shingles, set_id, component_id for every row; links: a, b, the set ids compared
-    and found alike (a spanning subset: every component is connected by them).
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text", slice_size: int = SLICE, part_size: int = PART) -> tuple[DataFrame, DataFrame]:
+    """(members, links). members: key, n_shingles, set_id, component_id for every row; links: a, b, set ids compared and
+    found alike (a spanning subset: every component is connected by them).
 
     Rows with equal sets are one class. A row with no word (or null text) has 0 shingles and its own key as component;
-    a null key takes part but never names a component with other keys. Extra columns are ignored.
+    a null key takes part but never names a component with other keys. Ties and repeated rows can't change a component:
+    it is named by its smallest key. Extra columns are ignored; an empty table gives empty results.
     """
-    spark = docs.sparkSession
-    source = spread(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")))
+    source = spread(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text")))
+    rows, order = _survey(source, k)
+    clustered = components(_stars(source, order, k, percent, part_size), "clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    carriers = rows.where("n_shingles > 0").groupBy(F.col("set_id").alias("id")).agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"))
+    inside = written(carriers.join(clustered.hint("merge"), "id"), "clustered")
+    sizes = written(inside.groupBy("cluster").agg(F.count("*").alias("sets"), F.ceil(F.sum(F.col("n") + 64) / slice_size).alias("slices")).where("sets > 1"), "sizes")
+    inside = written(inside.join(sizes.hint("merge"), "cluster").withColumn("slice", F.pmod(F.xxhash64("id"), "slices")), "sliced")
+    known = _fetch(source, inside, k)
+    large = inside.where("slices > 1")
+    leaders = large.groupBy("cluster", F.pmod(F.xxhash64("id", F.lit("leader")), F.lit(8)).alias("c")).agg(F.min("id").alias("id"))
+    led = leaders.join(sizes.hint("merge"), "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "id")
+    dealt = inside.select("cluster", "slice", "id").union(led).distinct()
+    tasks = dealt.select("cluster", "slice", F.lit(0).alias("other"), "id", F.col("id").alias("group"), F.lit(3).alias("role"))
+    links = _walk(tasks, known, percent)
+    if not sizes.where("slices > 1").isEmpty():
+        links = links.union(_walk(_rest(large, links, slice_size), known, percent))
+    labels = components(links, "labels").select(F.col("node").alias("id"), "component")
+
+    joined = rows.withColumn("id", F.when(F.col("n_shingles") > 0, F.col("set_id"))).join(labels.hint("merge"), "id", "left")
+    joined = written(joined.select("key", "n_shingles", "set_id", F.coalesce("component", "id").alias("component")), "joined")
+    named = written(joined.where("component is not null").groupBy("component").agg(F.min("key").alias("component_id")), "named")
+    members = joined.join(named.hint("merge"), "component", "left").select(
+        F.col("key").alias(key), "n_shingles", "set_id", F.coalesce("component_id", F.col("key")).alias("component_id")
+    )
+    return members, links
+
+
+def _survey(source: DataFrame, k: int) -> tuple[DataFrame, object]:
+    """key, n_shingles and set_id of every row, and the global order, sent to all tasks."""
+    spark = source.sparkSession
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, size = [], 0
@@ -120,8 +125,8 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
         def often() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(pool), return_counts=True)
             more = n >= 2
-            zeros = pa.nulls(int(more.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(int(more.sum()), dtype=bool)), zeros, pa.array(n[more].astype(np.int64)), pa.array(signed(values[more]))], names=["frequent", "key", "n", "id"])
+            some = int(more.sum())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(some, dtype=bool)), pa.nulls(some, pa.int64()), pa.array(n[more].astype(np.int64)), pa.array(signed(values[more]))], names=["frequent", "key", "n", "id"])
 
         for batch in batches:
             ns, ids = [], []
@@ -130,7 +135,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
                 ids.append(set_id(found) if len(found) else 0)
                 pool.append(found)
                 size += len(found)
-                if size > 2_000_000:
+                if size > _POOL:
                     yield often()
                     pool, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, dtype=bool)), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64())], names=["frequent", "key", "n", "id"])
@@ -138,7 +143,6 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
             yield often()
 
     seen = written(source.mapInArrow(survey, "frequent boolean, key long, n long, id long"), "sets")
-    rows = seen.where("not frequent").select("key", F.col("n").alias("n_shingles"), F.col("id").alias("set_id"))
     often = written(seen.where("frequent").groupBy("id").agg(F.sum("n").alias("n")), "frequent")
     room, least = FREQUENT, 1 << 40
     for r in often.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
@@ -148,196 +152,193 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
         least = r["n"]
     top = often.where(F.col("n") >= least).toArrow()
     order = spark.sparkContext.broadcast(Order(top.column("id").to_numpy().view(np.uint64), top.column("n").to_numpy()))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = order.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                tokens, ids, sizes = [], [], []
-                for found in _sets(whole.column(1).slice(start, 1000), k):
-                    if n := len(found):
-                        head = ordered.sort(found)[: n - -(-percent * n // 100) + 1]
-                        tokens.append(head)
-                        ids.append(np.full(len(head), set_id(found), dtype=np.int64))
-                        sizes.append(np.full(len(head), n, dtype=np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["token", "id", "n"])
-
-    dealt = source.mapInArrow(prefixes, "token long, id long, n int").repartition("token").sortWithinPartitions("token", "n", "id")
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of shingles that at least two sets share; copies of a set count once."""
-        for part in _groups(batches, ["token"]):
-            token, ids, n = (part.column(c).to_numpy() for c in ("token", "id", "n"))
-            new = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]
-            token, ids, n = token[new], ids[new], n[new]
-            lengths = np.diff(np.append(np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)))
-            many = np.repeat(lengths > 1, lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, ids, n)], names=["token", "id", "n"])
-
-    groups = written(dealt.mapInArrow(shared, "token long, id long, n int"), "prefixes")
-    # what two sets share beyond their prefixes is at most what either has left there
-    left = lambda c: F.ceil(F.col(c) * percent / 100) - 1
-    needed = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent) - F.lit(1e-9))
-    may_link = F.col("shared") + F.greatest(left("nx"), left("ny")) >= needed
-    labels, links, open_groups = None, None, groups.withColumn("component", F.col("id"))
-    for step in range(STARS + 1):
-        if labels is not None:
-            open_groups = groups.join(labels.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = _across if step == STARS else _stars(step)
-        pairs = partial(pairs, percent=percent)
-        found = open_groups.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(pairs, "x long, y long, nx int, ny int")
-        chosen = written(found.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).where(may_link).select("x", "y"), "pairs")
-        if chosen.isEmpty():
-            continue
-        more = _compare(source, rows, chosen, order, k, percent)
-        links = more if links is None else links.union(more)
-        known = more if labels is None else more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = written(components(known), "labels")
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-        labels = spark.createDataFrame([], "node long, component long")
-    found = labels
-
-    joined = rows.withColumn("id", F.when(F.col("n_shingles") > 0, F.col("set_id"))).join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "id"))
-    named = joined.where("component is not null").groupBy("component").agg(F.min("key").alias("component_id"))
-    members = joined.join(named.hint("merge"), "component", "left").select(
-        F.col("key").alias(key), "n_shingles", "set_id", F.coalesce("component_id", F.col("key")).alias("component_id")
-    )
-    return members, links
+    return seen.where("not frequent").select("key", F.col("n").alias("n_shingles"), F.col("id").alias("set_id")), order
 
 
-def _open(part: pa.Table) -> pa.Table:
-    """The table without the shingles whose sets are all in one component."""
-    if not part.num_rows:
-        return part
-    bounds, group = _bounds(part, ["token"]), part.column("component").to_numpy()
-    mixed = np.minimum.reduceat(group, bounds[:-1]) != np.maximum.reduceat(group, bounds[:-1])
-    return part.filter(pa.array(np.repeat(mixed, np.diff(bounds))))
+def _stars(source: DataFrame, order, k: int, percent: int, part_size: int) -> DataFrame:
+    """a, b: each set with the first of those it may link with through a prefix shingle, by size.
 
-
-def _stars(step: int):
-    """Pairs of a shared shingle between its sets and a few leaders, which are the same for all shingles they have.
-
-    Leaders are the first by a hash that changes with the step, from the component most of the group's sets are in; sets
-    of that component are not compared again.
+    Sets of a shingle are sorted by size; where the next is too large for the one before it, no pair across can link. A
+    set goes to a task once, however many copies the task has. The sets of a very frequent shingle are dealt into parts,
+    whose first sets are joined through a node that stands for the shingle.
     """
 
-    def pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-        for part in filter(len, map(_open, _groups(batches, ["token"]))):
-            ids, n, group = (part.column(c).to_numpy() for c in ("id", "n", "component"))
-            rank = mix(ids.view(np.uint64) + np.uint64(step))
-            bounds, xs, ys = _bounds(part, ["token"]), [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if e - s == 2:  # the usual case
-                    xs.append(np.array([s]))
-                    ys.append(np.array([s + 1]))
-                    continue
-                names, inverse, sizes = np.unique(group[s:e], return_inverse=True, return_counts=True)
-                single = len(names) == e - s
-                inside = np.arange(e - s) if single else np.flatnonzero(inverse == sizes.argmax())
-                leaders = inside[np.argsort(rank[s:e][inside])[:LEADERS]]
-                others = np.arange(e - s) if single else np.flatnonzero(inverse != sizes.argmax())
-                for at in leaders.tolist():
-                    rest = others[rank[s:e][others] > rank[s + at]] if single else others
-                    xs.append(np.full(len(rest), s + at))
-                    ys.append(rest + s)
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            fits = (np.minimum(n[x], n[y]).astype(np.int64) * 100 >= np.maximum(n[x], n[y]).astype(np.int64) * percent) & (group[x] != group[y])
-            x, y = x[fits], y[fits]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], n[x], n[y])], names=["x", "y", "nx", "ny"])
-
-    return pairs
-
-
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a shared shingle whose sets are in different components and of comparable sizes."""
-    for part in filter(len, map(_open, _groups(batches, ["token"]))):
-        ids, n, group = (part.column(c).to_numpy() for c in ("id", "n", "component"))
-        bounds, xs, ys, size = _bounds(part, ["token"]), [], [], 0
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            for i in range(s, e - 1):
-                top = s + int(np.searchsorted(n[s:e], int(n[i]) * 100 // percent, side="right"))
-                other = np.flatnonzero(group[i + 1 : top] != group[i]) + i + 1
-                xs.append(np.full(len(other), i))
-                ys.append(other)
-                size += len(other)
-                if size > 100_000 or (e == bounds[-1] and i == e - 2):
-                    x, y = np.concatenate(xs), np.concatenate(ys)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], n[x], n[y])], names=["x", "y", "nx", "ny"])
-                    xs, ys, size = [], [], 0
-
-
-def _compare(source: DataFrame, rows: DataFrame, pairs: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """Those of the pairs x, y of set ids whose sets reach the threshold, as a, b.
-
-    The texts are read again, and those of one row for each set are hashed (of rows without a key, all).
-    """
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered, seen = order.value, set()
+        for whole in batches:
+            for column in slices(whole.column(1)):
+                found = []
+                for shingles in _sets(column, k):
+                    name = set_id(shingles)
+                    if not len(shingles) or name in seen:
+                        continue
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(name)
+                    n = len(shingles)
+                    head, often = ordered.prefix(shingles, n - -(-percent * n // 100) + 1)
+                    parts = np.maximum(1, -(-often // part_size)).astype(np.uint64)
+                    salted = mix(head + np.uint64(name & 0xFFFFFFFF) % parts)
+                    hot = parts > 1
+                    found.append((np.where(hot, salted, head), np.where(hot, head, np.uint64(0)), np.full(len(head), name, dtype=np.int64), np.full(len(head), n, dtype=np.int32)))
+                if found:
+                    token, hot, ids, n = map(np.concatenate, zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(signed(hot)), pa.array(ids), pa.array(n)], names=["token", "hot", "id", "n"])
+
+    dealt = source.mapInArrow(prefixes, "token long, hot long, id long, n int").repartition("token").sortWithinPartitions("token", "n", "id")
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, ["token"]):
+            token, hot, ids, n = (part.column(c).to_numpy() for c in ("token", "hot", "id", "n"))
+            new = np.r_[True, (token[1:] != token[:-1]) | (n[:-1].astype(np.int64) * 100 < n[1:].astype(np.int64) * percent)]
+            first = np.flatnonzero(new)
+            center = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
+            a, b = ids[ids != center], center[ids != center]
+            joint = first[hot[first] != 0]
+            shingle = signed(mix(hot[joint].view(np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, ids[joint]])), pa.array(np.concatenate([b, shingle]))], names=["a", "b"])
+
+    return dealt.mapInArrow(stars, "a long, b long")
+
+
+def _fetch(source: DataFrame, inside: DataFrame, k: int) -> DataFrame:
+    """id, tokens of the clustered sets: the texts are read again, and one row for each set is hashed (without a key, all)."""
     spark = source.sparkSession
-    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    bits = spark.sparkContext.broadcast(bit_filter(wanted, "id", _FILTER_BITS))
-    carriers = rows.groupBy(F.col("set_id").alias("id")).agg(F.min("key").alias("key")).where("key is not null")
-    hashed = carriers.join(wanted.hint("merge"), "id", "left_semi").select(F.xxhash64("key").alias("key"))
-    key_bits = spark.sparkContext.broadcast(bit_filter(hashed, "key", _FILTER_BITS))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered, allowed, carrying = order.value, bits.value, key_bits.value
+    bits = spark.sparkContext.broadcast(bit_filter(inside, "id", _FILTER_BITS))
+    key_bits = spark.sparkContext.broadcast(bit_filter(inside.where("key is not null").select(F.xxhash64("key").alias("key")), "key", _FILTER_BITS))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed, carrying = bits.value, key_bits.value
         for whole in batches:
             keyed = whole.column(2).to_numpy().view(np.uint64)
             batch = whole.filter(pa.array(in_filter(carrying, keyed) | whole.column(0).is_null().to_numpy(zero_copy_only=False)))
-            ids, values = [], []
-            for found in _sets(batch.column(1), k):
-                if len(found) and in_filter(allowed, np.array([set_id(found)], dtype=np.int64).view(np.uint64))[0]:
-                    ids.append(set_id(found))
-                    values.append(ordered.sort(found).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["id", "tokens"])
-
-    known = written(source.withColumn("hash", F.xxhash64("key")).mapInArrow(sets, "id long, tokens binary").groupBy("id").agg(F.first("tokens").alias("tokens")), "members")
-    # a leader's many sets are split into parts of about 256, each with the leader's own set
-    parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / 256).alias("parts"))
-    dealt = pairs.join(parts.hint("merge"), "x").withColumn("part", F.pmod(F.xxhash64("y"), "parts"))
-    members = dealt.select("x", "part", F.col("y").alias("id")).join(known.hint("merge"), "id")
-    probes = dealt.select("x", "part", F.col("x").alias("id")).distinct().join(known.hint("merge"), "id")
-    rows = members.union(probes.select(members.columns)).repartition("x", "part").sortWithinPartitions("x", "part")
+            for column in slices(batch.column(1)):
+                ids, values = [], []
+                for found in _sets(column, k):
+                    name = set_id(found) if len(found) else None
+                    if name is not None and in_filter(allowed, np.array([name], dtype=np.int64).view(np.uint64))[0]:
+                        ids.append(name)
+                        values.append(found.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["id", "tokens"])
+
+    fetched = source.withColumn("hash", F.xxhash64("key")).mapInArrow(fetch, "id long, tokens binary")
+    return written(fetched.groupBy("id").agg(F.first("tokens").alias("tokens")), "members")
+
+
+def _rest(large: DataFrame, links: DataFrame, slice_size: int) -> DataFrame:
+    """Tasks for clusters of several slices: sets outside the cluster's largest component against every slice."""
+    labels = components(links, "labels").select(F.col("node").alias("id"), "component")
+    marked = written(large.join(labels.hint("merge"), "id", "left").select("cluster", "slice", "slices", "id", "n", F.coalesce("component", "id").alias("group")), "marked")
+    most = marked.groupBy("cluster", "group").count().groupBy("cluster").agg(F.max_by("group", F.struct("count", "group")).alias("most"))
+    most = written(most, "most")
+    outer = written(marked.join(most.hint("merge"), "cluster").where("group <> most").drop("most"), "outer")
+    parts = written(outer.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + 64) / slice_size).alias("parts")), "parts")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = outer.join(parts.hint("merge"), "cluster").select("cluster", every("slices").alias("slice"), F.pmod(F.xxhash64("id", F.lit("outer")), "parts").alias("other"), "id", "group", F.lit(1).alias("role"))
+    held = marked.join(parts.hint("merge"), "cluster").select("cluster", "slice", every("parts").alias("other"), "id", "group", F.lit(2).alias("role"))
+    both = probes.union(held.select(probes.columns))
+    return both.groupBy("cluster", "slice", "other", "id", "group").agg(F.sum("role").cast("int").alias("role"))
+
+
+def _walk(tasks: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that connect components, found in each task's prefix tree."""
+    dealt = written(tasks, "tasks").join(known.hint("merge"), "id").repartition("cluster", "slice", "other").sortWithinPartitions("cluster", "slice", "other", "id")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, ["x", "part"]):
-            ids, x = part.column("id").to_numpy(), part.column("x").to_numpy()
-            tokens = part.column("tokens")
-            bounds = _bounds(part, ["x", "part"])
+        names = ["cluster", "slice", "other"]
+        for part in groups(batches, names):
+            ids, group, role, tokens = part.column("id").to_numpy(), part.column("group").to_numpy(), part.column("role").to_numpy(), part.column("tokens")
+            bounds = group_bounds(part, names).tolist()
             a, b = [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                got = {int(ids[i]): np.frombuffer(tokens[i].as_py(), dtype=np.uint64) for i in range(s, e)}
-                alike = prefix_tree_matches(got.pop(int(x[s])), got, percent)
-                a += [int(x[s])] * len(alike)
-                b += alike
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                sets = [np.frombuffer(tokens[i].as_buffer(), dtype=np.uint64) for i in range(s, e)]
+                found = tree_links(sets, group[s:e], role[s:e] & 1 > 0, role[s:e] & 2 > 0, percent)
+                a += [int(ids[s + i]) for i, _ in found]
+                b += [int(ids[s + j]) for _, j in found]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return written(rows.mapInArrow(walk, "a long, b long"), "links")
+    return written(dealt.mapInArrow(walk, "a long, b long"), "links")
+
+
+class _Join:
+    """Sets of a task, their shingles in the tree's order, and which of them hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray], group: np.ndarray, percent: int):
+        self.percent, self.group, self.links = percent, np.unique(group, return_inverse=True)[1], []
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        _, inverse, counts = np.unique(np.concatenate(sets) if sets else _NONE, return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), dtype=np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        both = counts[inverse] > 1  # what one set alone has can't overlap and only counts by its length
+        owner, place = owner[both], rank[inverse[both]]
+        self.width = int(place.max()) + 1 if len(place) else 1
+        self.keys = np.sort(owner * self.width + place)
+        self.paths = self.keys % self.width
+        self.starts = np.searchsorted(self.keys, np.arange(len(sets) + 1) * self.width)
+        by_place = np.argsort(place, kind="stable")
+        self.holders, self.held = owner[by_place], np.searchsorted(place[by_place], np.arange(self.width + 1))
+
+    def path(self, i: int) -> np.ndarray:
+        return self.paths[self.starts[i] : self.starts[i + 1]]
+
+    def overlaps(self, places: np.ndarray) -> np.ndarray:
+        """How many of the shingles each set has."""
+        return np.bincount(self.holders[ragged(self.held[places], self.held[places + 1])], minlength=len(self.sizes))
+
+    def left(self, some: np.ndarray, place: int) -> np.ndarray:
+        """Shingles of some sets that come after a place in the order."""
+        return self.starts[some + 1] - np.searchsorted(self.keys, some * self.width + place, side="right")
+
+    def link(self, i: int, near: np.ndarray) -> None:
+        """Link a set with one set of each other component among those found alike."""
+        near = near[self.group[near] != self.group[i]]
+        _, first = np.unique(self.group[near], return_index=True)
+        for j in near[first].tolist():
+            self.links.append((i, j))
+            self.group[self.group == self.group[j]] = self.group[i]
+
+    def alike(self, i: int, some: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+        return some[overlap >= _needed(self.sizes[i], self.sizes[some], self.percent)]
 
 
-def prefix_tree_matches(probe: np.ndarray, members: dict[int, np.ndarray], percent: int) -> list[int]:
-    """Members that reach the threshold with the probe.
+def tree_links(sets: list[np.ndarray], group: np.ndarray, probes: np.ndarray, held: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (probe, held set) that connect what reaches the threshold; sets of one group need no link.
 
-    Sorted by their tokens in order, the members are the prefix tree's leaves from left to right. `matched[d]` counts
-    the probe's tokens on the path to depth d; the next member keeps it as far as their paths agree.
+    A few sets are compared with all first. Every pair of sets in different components has one outside the largest, so
+    where all sets are both probes and held only those outside it are put in the tree.
     """
-    own = np.sort(probe)
-    found, before, matched = [], _NONE, np.zeros(1, dtype=np.int64)
-    for name, path in sorted(members.items(), key=lambda m: m[1].byteswap().tobytes()):
-        depth = min(len(before), len(path), len(matched) - 1)
-        if depth:
-            differs = before[:depth] != path[:depth]
-            depth = int(differs.argmax()) if differs.any() else depth
-        need = _overlap_needed(len(own), len(path), percent)
-        if matched[depth] + len(path) - depth < need or len(own) < need:
-            before, matched = path[:depth], matched[: depth + 1]
+    join = _Join(sets, group, percent)
+    all_held = np.flatnonzero(held)
+    if held.all() and probes.all() and len(sets) > 16:
+        for i in range(0, len(sets), -(-len(sets) // 16)):
+            join.link(i, join.alike(i, all_held, join.overlaps(join.path(i))))
+        probes = join.group != np.bincount(join.group).argmax()
+    tree = sorted(np.flatnonzero(probes).tolist(), key=lambda i: join.path(i).astype(">u4").tobytes())
+    paths = [join.path(i) for i in tree]
+    agree = np.zeros(max(0, len(tree) - 1), dtype=np.int64)  # shingles that neighbours in the tree share from the root on
+    for i, (p, q) in enumerate(zip(paths, paths[1:])):
+        n = min(len(p), len(q))
+        differs = p[:n] != q[:n]
+        agree[i] = differs.argmax() if differs.any() else n
+    lengths, sizes = np.array([len(p) for p in paths], dtype=np.int64), join.sizes[tree]
+    todo = [(0, len(tree), 0, all_held, np.zeros(len(all_held), dtype=np.int64))] if tree else []
+    while todo:
+        low, high, depth, alive, overlap = todo.pop()
+        end = int(agree[low : high - 1].min()) if high - low > 1 else int(lengths[low])
+        if end > depth:
+            step = paths[low][depth:end]
+            overlap = overlap + join.overlaps(step)[alive]
+            rest = np.minimum(int(lengths[low:high].max()) - end, join.left(alive, int(step[-1])))
+            may = overlap + rest >= _needed(int(sizes[low:high].min()), join.sizes[alive], percent)
+            if high - low == 1:
+                may &= join.group[alive] != join.group[tree[low]]
+            alive, overlap = alive[may], overlap[may]
+        if not len(alive):
             continue
-        rest = path[depth:]
-        at = np.minimum(np.searchsorted(own, rest), len(own) - 1)
-        matched = np.concatenate([matched[: depth + 1], matched[depth] + np.cumsum(own[at] == rest)])
-        before = path
-        if matched[-1] >= need:
-            found.append(name)
-    return found
+        while low < high and lengths[low] == end:  # sets that end here come first below a node
+            join.link(tree[low], join.alike(tree[low], alive, overlap))
+            low += 1
+        cuts = [low, *(np.flatnonzero(agree[low : high - 1] <= end) + low + 1).tolist(), high] if low < high else []
+        todo += [(s, e, end, alive, overlap) for s, e in zip(cuts, cuts[1:])]
+    return join.links

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquire.llm.common import bit_filter, in_filter, mix, signed, spread, written
-from docquire.llm.jaccard import _bounds, _groups
+from docquire.llm.common import bit_filter, group_bounds, groups, in_filter, mix, signed, spread, written
 
 ANCHOR = 64
 #: Distinct contexts (of under 2 * length bytes) that one bucket may bring to a task.
@@ -216,9 +215,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
     bodies = written(fetched.join(open_contexts.hint("merge"), "c"), "bodies")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, ["h"]):
+        for part in groups(batches, ["h"]):
             c, place, body = part.column("c").to_numpy(), part.column("place").to_numpy(), part.column("bytes").to_pylist()
-            bounds = _bounds(part, ["h"]).tolist()
+            bounds = group_bounds(part, ["h"]).tolist()
             out = []
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 out += repeated_windows([(body[i], int(place[i])) for i in range(s, e)], length)

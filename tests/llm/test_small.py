@@ -163,6 +163,58 @@ def test_jaccard_components_against_brute_force(spark, texts):
     assert got == {i: (len(s), g) for i, (s, g) in enumerate(zip(sets, group))}
 
 
+def brute_components(sets, percent=75):
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if group[a] != group[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def near_copies(rng, n, size, most):
+    """Copies of one text with up to `most` words replaced: many pairs are near the threshold, on either side."""
+    base = sentence(rng, size, 9000).split()
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, most)):
+            words[rng.randrange(size)] = f"z{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tree_links_against_brute_force(seed):
+    rng = random.Random(seed)
+    texts = near_copies(rng, 120, 60, 6) + near_copies(rng, 30, 40, 3) + [sentence(rng, 30) for _ in range(10)] + ["a", "a b"]
+    sets = [set(s.tolist()) for s in jaccard.shingle_sets([t.encode() for t in texts], 5)]
+    arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    both = np.ones(len(sets), dtype=bool)
+    links = jaccard.tree_links(arrays, np.arange(len(sets)), both, both, 75)
+    assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links)
+    want = brute_components(sets)
+    assert len(links) == len(sets) - len(set(want))
+    group = list(range(len(sets)))
+    for a, b in links:
+        low, high = sorted((group[a], group[b]))
+        group = [low if g == high else g for g in group]
+    assert group == want
+    half = np.arange(len(sets)) % 2 == 0
+    across = jaccard.tree_links(arrays, np.zeros(len(sets), dtype=int) + half, half, ~half, 75)
+    assert len(across) == any(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a in range(0, len(sets), 2) for b in range(1, len(sets), 2))
+
+
+@pytest.mark.parametrize("slice_size", [4000, 1_000_000])
+def test_large_groups_of_near_copies_in_slices(spark, slice_size):
+    rng = random.Random(21)
+    texts = near_copies(rng, 300, 60, 6) + near_copies(rng, 80, 50, 4) + [sentence(rng, 40) for _ in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(frame(spark, texts), slice_size=slice_size, part_size=50)[0].collect()}
+    want = brute_components([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)])
+    assert got == dict(enumerate(want)) and 100 < len(set(want)) < 390
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, 201)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.components(edges).collect()}
