@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that Spark hands to a Python worker while a scratch table is written (one row at least).
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: ASCII letters in lower case; every other ASCII byte that is no digit or letter becomes a space.
 _WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -42,6 +45,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame):
+    """64-bit hash of a row's columns, those of types that Spark can't hash (maps, variants) as JSON."""
+    plain = lambda f: not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))
+    columns = [F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields]
+    return F.xxhash64(*columns)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of this application; results that were not yet read or written are lost."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/docquire-{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(column: pa.Array, rows: int = 512) -> Iterator[pa.Array]:
     """Parts of a column of a batch, so that not all its values become Python objects at once."""
     for start in range(0, len(column), rows):
@@ -93,8 +118,13 @@ def ragged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch_dir(spark)}/docquire-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquire.llm.common import ascii_words, bit_filter, gram_hashes, in_filter, portions, signed, spread, winnow, word_hashes, written
+from docquire.llm.common import ascii_words, bit_filter, gram_hashes, in_filter, portions, row_hash, signed, spread, winnow, word_hashes, written
 
 #: Benchmark fingerprints up to this many go to every task (about 100 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -44,7 +44,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
 
     Null, empty and wordless texts have no words and no windows. An item of fewer than `span` words is one window.
     Repeated documents are counted one by one, repeated items once per item_id; an item whose id is null still hits,
-    as the empty id. Rows are matched by a hash of all their columns, so equal doc_ids don't mix.
+    as the empty id. Rows are matched by a hash of all their columns, so equal doc_ids don't mix. Other columns pass
+    through, but those named like the new ones or row_key are replaced. Without documents both tables are empty.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "n_items", "item_ids", "contaminated", "row_key")]
@@ -65,7 +66,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     lengths = sorted(r["kind"] for r in known.where("kind > 0").select("kind").distinct().collect())  # fewer than `span`
     shared = spark.sparkContext.broadcast(bit_filter(known, "h", _BITS))
 
-    source = spread(docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"), F.col(f"`{text}`").cast("binary").alias("text")))
+    source = spread(docs.select(row_hash(docs).alias("row_key"), F.col(f"`{text}`").cast("binary").alias("text")))
 
     def doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_bits = shared.value
@@ -115,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     counted = fresh.groupBy("row_key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).cast("long").alias("n_hit"))
     named = hits.groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     per_row = scanned.where("kind = -1").groupBy("row_key").agg(F.max("n_words").alias("n_words")).join(counted.hint("merge"), "row_key", "left").join(named.hint("merge"), "row_key", "left")
-    identity = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"), *[F.col(f"`{c}`") for c in rest])
+    identity = docs.select(row_hash(docs).alias("row_key"), *[F.col(f"`{c}`") for c in rest])
     summary = identity.join(per_row.hint("merge"), "row_key").select(
         "row_key", *[f"`{c}`" for c in rest], "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

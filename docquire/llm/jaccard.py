@@ -3,8 +3,9 @@
 Sets are kept in one global order of shingles, frequent ones last. Two sets that reach the threshold share a shingle of
 their prefixes (the first n - ceil(t n) + 1), so:
 
-1. Sets that share a prefix shingle and aren't too unlike in size are put in one cluster: a star for each shingle, so
-   rows stay in proportion to prefix rows, then connected components. No pair that links is in two clusters.
+1. Sets that share a prefix shingle and aren't too unlike in size are put in one cluster. A shingle of a few sets lists
+   its pairs, and a pair that is only listed so counts if it shares enough prefix shingles; a shingle of more sets makes
+   a star. Rows stay in proportion to prefix rows; connected components follow. No pair that links is in two clusters.
 2. Each clustered set is fetched once. A cluster's sets hang in a prefix tree, common shingles first. The tree is walked
    depth first with the overlap that every other set has with the path so far, shared by all sets below; sets whose
    remaining length can't make up the overlap that is needed are left out, and a subtree for which none is left is skipped.
@@ -28,6 +29,8 @@ from docquire.llm.common import bit_filter, components, gram_hashes, group_bound
 FREQUENT = 1_000_000
 #: Sets of one shingle, by its frequency, that go to one task.
 PART = 16_384
+#: Sets of one shingle that list their pairs; more make a star.
+FEW = 12
 #: Shingles (and 64 more for each set) that a task's slice of a cluster holds; one set at least.
 SLICE = 1_000_000
 _POOL = 1_000_000
@@ -156,11 +159,14 @@ def _survey(source: DataFrame, k: int) -> tuple[DataFrame, object]:
 
 
 def _stars(source: DataFrame, order, k: int, percent: int, part_size: int) -> DataFrame:
-    """a, b: each set with the first of those it may link with through a prefix shingle, by size.
+    """a, b: sets that may link through a prefix shingle, or that such sets connect.
 
     Sets of a shingle are sorted by size; where the next is too large for the one before it, no pair across can link. A
     set goes to a task once, however many copies the task has. The sets of a very frequent shingle are dealt into parts,
     whose first sets are joined through a node that stands for the shingle.
+
+    What two sets share beyond their prefixes is at most what either has left there, so pairs that only met in shingles
+    of few sets must have met often enough.
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,15 +196,33 @@ def _stars(source: DataFrame, order, k: int, percent: int, part_size: int) -> Da
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["token"]):
             token, hot, ids, n = (part.column(c).to_numpy() for c in ("token", "hot", "id", "n"))
-            new = np.r_[True, (token[1:] != token[:-1]) | (n[:-1].astype(np.int64) * 100 < n[1:].astype(np.int64) * percent)]
-            first = np.flatnonzero(new)
-            center = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
-            a, b = ids[ids != center], center[ids != center]
+            once = np.r_[True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])]
+            token, hot, ids, n = token[once], hot[once], ids[once], n[once].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (n[:-1] * 100 < n[1:] * percent)])
+            sizes = np.diff(np.append(first, len(ids)))
+            many = np.repeat((sizes > FEW) | (hot[first] != 0), sizes)
+            center = np.repeat(ids[first], sizes)
             joint = first[hot[first] != 0]
             shingle = signed(mix(hot[joint].view(np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, ids[joint]])), pa.array(np.concatenate([b, shingle]))], names=["a", "b"])
-
-    return dealt.mapInArrow(stars, "a long, b long")
+            starred = many & (ids != center)
+            a, b = [ids[starred], ids[joint]], [center[starred], shingle]
+            x, y = [], []
+            for step in range(1, FEW):  # pairs of places that are `step` apart in a run of few
+                at = np.flatnonzero(~many[step:] & (np.repeat(first, sizes)[step:] == np.repeat(first, sizes)[:-step])) if step < len(ids) else first[:0]
+                at = at[n[at] * 100 >= n[at + step] * percent]
+                x.append(at)
+                y.append(at + step)
+            x, y = np.concatenate(x), np.concatenate(y)
+            stars = sum(map(len, a))
+            zeros = np.zeros(stars, dtype=np.int32)
+            columns = [np.concatenate([*a, np.minimum(ids[x], ids[y])]), np.concatenate([*b, np.maximum(ids[x], ids[y])])]
+            columns += [np.concatenate([zeros, np.minimum(n[x], n[y]).astype(np.int32)]), np.concatenate([zeros, np.maximum(n[x], n[y]).astype(np.int32)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "na", "nb"])
+
+    met = dealt.mapInArrow(stars, "a long, b long, na int, nb int").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    left = F.ceil(F.col("nb") * percent / 100) - 1
+    needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent) - F.lit(1e-9))
+    return met.where((F.col("na") == 0) | (F.col("shared") + left >= needed)).select("a", "b")
 
 
 def _fetch(source: DataFrame, inside: DataFrame, k: int) -> DataFrame:

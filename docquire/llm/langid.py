@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquire.llm.common import mix, spread
+from docquire.llm.common import mix, slices, spread, written
 
 #: ASCII letters in lower case, bytes of other scripts kept, everything else a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -74,15 +75,17 @@ class LanguageFilters:
         return best, float(true[best] / true.sum()) if true.sum() else 0.0
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 3000, least_share: float = 2e-6, contrast: float = 0.15) -> LanguageFilters:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 3000, least_share: float = 2e-6, contrast: float = 0.15, most_languages: int = 1024) -> LanguageFilters:
     """Filters from labelled rows (null texts and languages take no part).
 
     About `per_language` rows of each language are used, chosen by a hash of the key: all of a rarer language. A gram
     enters a language's filter if its share of that language's grams is at least `least_share` and at least
-    `contrast` times its share in the language where it is most common.
+    `contrast` times its share in the language where it is most common. Of more values of lang than `most_languages`, the
+    most frequent (ties: first by name) are learned. Repeated rows count each time; an empty table learns nothing.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}  # a row per language
+    most = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages)
+    counts = {r[lang]: r["count"] for r in most.collect()}
     if not counts:
         return LanguageFilters.build({})
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
@@ -98,10 +101,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                 values, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    found = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = written(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    enough = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, max(2.0, least_share * n))]) if totals else F.lit(None)
     shares: dict[str, dict[int, float]] = {}
-    for name, part in found.toPandas().groupby("lang"):  # bounded by the sample
-        part = part[part["n"] >= max(2, least_share * part["n"].sum())]
+    for name, part in found.where(F.col("n") >= enough[F.col("lang")]).toPandas().groupby("lang") if totals else ():  # at most 1 / least_share a language
         shares[name] = dict(zip(part["gram"], part["n"] / part["n"].sum(), strict=True))
     most: dict[int, float] = {}
     for part in shares.values():
@@ -110,12 +114,15 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return LanguageFilters.build({name: np.array([g for g, x in part.items() if x >= contrast * most[g]], dtype=np.uint64) for name, part in shares.items()})
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to every row, from its whole text alone; other columns pass through. No shuffle.
+def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its score to every row, from its whole text alone. No shuffle.
+
+    Other columns pass through; columns with the new names are replaced. Ties go to the first language in alphabetical
+    order; repeated rows get the same answer; an empty table stays empty.
 
     `und` with score 0 where the text is null, empty or has no letter, or where no language was learned.
     """
-    docs = spread(docs.drop("lang_pred", "score"))
+    docs = spread(docs.drop(*names))
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     column = docs.columns.index(text)
 
@@ -123,13 +130,13 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> D
         known = shared.value
         for batch in batches:
             langs, scores = [], []
-            for value in batch.column(column).to_pylist():
+            for value in chain.from_iterable(part.to_pylist() for part in slices(batch.column(column))):
                 best, score = "und", 0.0
                 if value and known.languages and any(map(str.isalpha, value)):
                     at, score = known.decide(value.encode())
                     best = known.languages[at]
                 langs.append(best)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
