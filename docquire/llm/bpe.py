@@ -23,28 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquire.llm.common import spread
+from docquire.llm.common import slices, spread
 
 #: Pre-token pattern of the 50k byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks remembered by a task before its cache is emptied.
-CACHE = 400_000
+#: Bytes (by estimate) of the chunks that a task remembers; then its store is emptied.
+STORE_BYTES = 48 << 20
 _SAFE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 _SPACE_BETWEEN = regex.compile(r"\s \s|\s \Z")
 
 
-_process: dict = {}
-
-
-def _remembered(name: tuple, make):
-    """What a Python worker keeps from task to task: the caches are bounded, and only save work."""
-    if name not in _process:
-        _process[name] = make()
-    return _process[name]
-
-
 def chunks(text: str) -> list[str]:
-    """Cut at single spaces between visible characters, where a pre-token always starts.
+    """Cut at single spaces between visible characters, where a pre-token of PATTERN always starts.
 
     A pre-token takes at most one leading space, so the cuts never change how either side is split; each later chunk
     keeps its space in front.
@@ -55,42 +45,24 @@ def chunks(text: str) -> list[str]:
     return [parts[0], *map(" ".__add__, parts[1:])] if len(parts) > 1 else parts
 
 
-def merge(raw: bytes, ranks: dict) -> list[bytes]:
-    """Merge the lowest-ranked adjacent pair of symbols until none is left, from single bytes on.
+def cutter(pattern: str):
+    """How texts are cut into chunks that are looked up whole: other patterns than PATTERN get the whole text."""
+    return chunks if pattern == PATTERN else lambda text: [text]
 
-    ranks gives the rank of a pair (left, right) of symbols. Symbols form a linked list by their start; a heap holds
-    candidate pairs as (rank, left start, right start, end), and an entry counts only while both its symbols are
-    unchanged.
-    """
-    n = len(raw)
-    if n < 2:
-        return [raw] if n else []
-    symbol = [raw[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank_of, push, pop = ranks.get, heapq.heappush, heapq.heappop
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank_of((symbol[i], symbol[i + 1]))) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, left, right, end = pop(heap)
-        if after[left] != right or after[right] != end:
-            continue
-        joined = symbol[left] = symbol[left] + symbol[right]
-        after[left], after[right] = end, -1
-        if end < n:
-            before[end] = left
-            rank = rank_of((joined, symbol[end]))
-            if rank is not None:
-                push(heap, (rank, left, end, after[end]))
-        previous = before[left]
-        if previous >= 0:
-            rank = rank_of((symbol[previous], joined))
-            if rank is not None:
-                push(heap, (rank, previous, left, end))
-    out, i = [], 0
-    while i < n:
-        out.append(symbol[i])
-        i = after[i]
-    return out
+
+class Store(dict):
+    """What chunks of up to 64 characters have come to, for as long as a task runs and up to STORE_BYTES."""
+
+    room = STORE_BYTES
+
+    def keep(self, chunk: str, value, size: int = 0):
+        if len(chunk) <= 64:
+            self.room -= 240 + len(chunk) + 8 * size
+            if self.room < 0:
+                self.clear()
+                self.room = STORE_BYTES
+            self[chunk] = value
+        return value
 
 
 # --- counting -------------------------------------------------------------------------------------------------------
@@ -115,35 +87,56 @@ def read_merges(path: str) -> tuple[dict[tuple[bytes, bytes], int], list[str]]:
     return merges, sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
 
 
-class ChunkCounts(dict):
-    """Tokens of each chunk, merging only what has not been seen."""
+def merges_done(raw: bytes, ranks: dict) -> int:
+    """Merges until no adjacent pair of symbols has a rank, the lowest-ranked pair first, from single bytes on.
+
+    ranks gives the rank of a pair (left, right). A symbol is a slice of raw, linked to the starts of its neighbours. A
+    heap entry packs the rank and the three bounds of a pair into one integer, and counts only while two symbols have
+    those bounds. No merged symbol is kept or named: the number of merges is all that a count needs.
+    """
+    n = len(raw)
+    after, before, wide, done = [*range(1, n + 1), -1], list(range(-1, n)), n + 1, 0
+    rank_of, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    entry = lambda r, left, right, end: ((r * wide + left) * wide + right) * wide + end
+    heap = [entry(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank_of((raw[i : i + 1], raw[i + 1 : i + 2]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rest, end = divmod(pop(heap), wide)
+        rest, right = divmod(rest, wide)
+        left = rest % wide
+        if after[left] != right or after[right] != end:
+            continue
+        done += 1
+        after[left], after[right], before[end] = end, -1, left
+        if end < n and (r := rank_of((raw[left:end], raw[end : after[end]]))) is not None:
+            push(heap, entry(r, left, end, after[end]))
+        previous = before[left]
+        if previous >= 0 and (r := rank_of((raw[previous:left], raw[left:end]))) is not None:
+            push(heap, entry(r, previous, left, end))
+    return done
+
+
+class ChunkCounts(Store):
+    """Tokens of each chunk, merging only what has not been seen: bytes less merges, for each pre-token."""
 
-    def __init__(self, merges: dict[tuple[bytes, bytes], int]):
-        self.merges, self.pieces, self.split = merges, {}, regex.compile(PATTERN).findall
+    def __init__(self, merges: dict[tuple[bytes, bytes], int], pattern: str = PATTERN):
+        self.merges, self.split = merges, regex.compile(pattern).findall
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        total = self[chunk] = sum(map(self.piece, self.split(chunk)))
-        return total
+        pieces = self.split(chunk)
+        return self.keep(chunk, self.piece(chunk) if len(pieces) == 1 else sum(self.get(p) or self.keep(p, self.piece(p)) for p in pieces))
 
     def piece(self, piece: str) -> int:
-        known = self.pieces.get(piece)
-        if known is None:
-            raw, ranks = piece.encode(), self.merges
-            known = len(merge(raw, ranks))
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            if len(raw) <= 64:
-                self.pieces[piece] = known
-        return known
-
-
-def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
+        raw = piece.encode()
+        return len(raw) - merges_done(raw, self.merges)
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text", pattern: str = PATTERN) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit (n_tokens > limit) to every row, from the JSON tokenizer file at path.
 
     Null or empty text has 0 bytes and 0 tokens. Strings of added tokens inside a text count as one token each, as the
-    library's default is. Other columns pass through; columns with the new names are replaced. No shuffle.
+    library's default is. Repeated rows are counted one by one; nothing can tie. Other columns pass through; columns with
+    the new names are replaced; an empty table stays empty. No shuffle.
     """
     docs = spread(docs.drop("n_bytes", "n_tokens", "over_limit"))
     shared = docs.sparkSession.sparkContext.broadcast(read_merges(path))
@@ -151,17 +144,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, added = shared.value
-        counts = _remembered(("counts", path), lambda: ChunkCounts(merges))
+        counts, cut = ChunkCounts(merges, pattern), cutter(pattern)
         special = regex.compile("|".join(map(regex.escape, added))) if added else None
         for batch in batches:
             tokens = []
-            for value in batch.column(column).to_pylist():
+            for value in chain.from_iterable(part.to_pylist() for part in slices(batch.column(column))):
                 n, rest = 0, [value] if value else []
                 if value and special and special.search(value):
                     rest = [x for x in special.split(value) if x]
                     n = len(special.findall(value))
                 for part in rest:
-                    n += sum(map(counts.__getitem__, chunks(part)))
+                    n += sum(map(counts.__getitem__, cut(part)))
                 tokens.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
@@ -262,17 +255,15 @@ def merged_ids(raw: bytes, rank_of) -> list[int]:
     return ids
 
 
-class ChunkIds(dict):
+class ChunkIds(Store):
     """Ids of each chunk and pre-token: whole pre-tokens through the perfect hash, the others by merging.
 
     A pre-token taken by itself is split no further, so one bounded store serves both.
     """
 
-    LONGEST = 128  # bytes of the longest token, and more
-
-    def __init__(self, table: PerfectHash):
-        self.table, self.split = table, regex.compile(PATTERN).findall
-        self.rank_of = {token: i for i, token in enumerate(table.tokens)}.get
+    def __init__(self, table: PerfectHash, pattern: str = PATTERN):
+        self.table, self.split, self.longest = table, regex.compile(pattern).findall, max(map(len, table.tokens), default=0)
+        self.rank_of = {token: i for i, token in enumerate(table.tokens)}.get  # of slices while merging
 
     def __missing__(self, chunk: str) -> list[int]:
         pieces = self.split(chunk)
@@ -281,40 +272,37 @@ class ChunkIds(dict):
         else:
             ids = []
             for piece in pieces:
-                ids += self.get(piece) or self.keep(piece, self.piece(piece))
-        return self.keep(chunk, ids)
+                ids += self.get(piece) or self.hold(piece, self.piece(piece))
+        return self.hold(chunk, ids)
 
-    def keep(self, chunk: str, ids: list[int]) -> list[int]:
-        if len(chunk) <= 64:
-            if len(self) >= 2 * CACHE:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def hold(self, chunk: str, ids: list[int]) -> list[int]:
+        return self.keep(chunk, ids, len(ids))
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode()
-        whole = self.table.get(raw) if len(raw) <= self.LONGEST else None
+        whole = self.table.get(raw) if len(raw) <= self.longest else None
         return merged_ids(raw, self.rank_of) if whole is None else [whole]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
     """Add an array of token ids to every row, from the rank file at path, without special tokens.
 
-    Null or empty text gives an empty array. Other columns pass through; a column named like `ids` is replaced.
+    Null or empty text gives an empty array. Repeated rows are encoded one by one; nothing can tie. Other columns pass
+    through; a column named like `ids` is replaced; an empty table stays empty.
     """
     docs = spread(docs.drop(ids))
     shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(path)))
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _remembered(("ids", path), lambda: ChunkIds(shared.value))
+        known, cut = ChunkIds(shared.value, pattern), cutter(pattern)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 offsets, flat = [0], array("i")
                 for value in batch.column(column).to_pylist():
                     if value:
-                        flat.extend(chain.from_iterable(map(known.__getitem__, chunks(value))))
+                        flat.extend(chain.from_iterable(map(known.__getitem__, cut(value))))
                     offsets.append(len(flat))
                 found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, ids])

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquire.llm import ann, bpe, chaining, decontam, jaccard, langid, licences, quality, repeats
 from docquire.llm.common import fraction, table
 
-#: Folder of the public tokenizers' vocabulary files; the package that ships them names it, a variable overrides it.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan_licences(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -33,7 +28,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json", 1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return bpe.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, pattern=public_tokenizers.PATTERN).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +47,8 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern=public_tokenizers.PATTERN).drop("text")
     return bpe.decode(encoded, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

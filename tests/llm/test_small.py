@@ -4,12 +4,12 @@ import base64
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from docquire.llm import ann, bpe, chaining, common, decontam, jaccard, langid, licences, quality, repeats
-from docquire.llm.queries import TOKENIZERS
 
 DOCS = "doc_id long, text string, score string, _row int"
 
@@ -80,7 +80,7 @@ def odd_texts(texts):
 
 
 def test_token_counts_match_the_library(spark, texts):
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     all_texts = [*odd_texts(texts), None]
     got = {r["doc_id"]: r for r in bpe.count_tokens(frame(spark, all_texts), path, 1024).collect()}
     library = Tokenizer.from_file(path)
@@ -89,18 +89,18 @@ def test_token_counts_match_the_library(spark, texts):
 
 
 def test_encoding_round_trip(spark, texts):
-    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     all_texts = [*odd_texts(texts), None]
     got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(frame(spark, all_texts), path), path).collect()}
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i, t in enumerate(all_texts):
         assert got[i]["ids"] == library.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
 
 
 def test_decoding_null_and_unknown_ids(spark):
-    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = spark.createDataFrame([(1, None), (2, []), (3, [64, 65]), (4, None)], "doc_id long, ids array<int>").coalesce(1)
     assert [r["decoded"] for r in bpe.decode(rows, path).orderBy("doc_id").collect()] == [None, b"", bpe.read_ranks(path)[64] + bpe.read_ranks(path)[65], None]
     for wrong in (-1, 50256, None):
@@ -269,30 +269,42 @@ def test_altered_passage_of_later_documents(spark):
 
 def test_nearest_has_recall_and_skips_bad_vectors(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(600)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [None] * 16), (None, [1.0] * 16)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()
-    unit = np.array([r[1] for r in rows[:600]], dtype=np.float32).astype(float)
+    rows = [(i, [float(x) for x in rng.normal(size=20)]) for i in range(600)]
+    rows += [(i, rows[150][1]) for i in range(600, 640)]  # ties with query 150
+    bad = [(700, None), (701, [0.0] * 20), (702, [float("nan")] * 20), (703, [None] * 20), (704, [1.0] * 3), (705, []), (None, [1.0] * 20), (706, [float("inf")] + [1.0] * 19)]
+    again = [(7, rows[7][1]), (100, [9.0] * 20)]  # a repeated row, and a second vector of a query
+    vectors = spark.createDataFrame([(*r, "x") for r in rows + bad + again], "vec_id long, embedding array<double>, id string")
+    unit = np.array([min(rows[100][1], [9.0] * 20) if i == 100 else v for i, v in rows])
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    hits = 0
-    for q in range(0, 600, 50):
-        near = unit @ unit[q]
-        near[q] = -2
-        hits += len(set(np.argsort(-near)[:5].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
-    assert hits >= 0.9 * 60 and len(got) == 60 and all(0 <= r["vec_id"] < 600 for r in got)
-
-
-def test_pigeonhole_finds_every_code():
+    for size in (65536, 100):
+        got = sorted(ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), block=size, least_block=size).collect())
+        hits = 0
+        for q in range(0, 640, 50):
+            near = [((unit[i] * unit[q]).sum(), i) for i in range(640) if i != q]
+            want = [i for _, i in sorted(near, key=lambda x: (-round(x[0], 12), x[1]))[:5]]
+            mine = [r for r in got if r["query_id"] == q]
+            assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and all(abs(r["score"] - unit[r["vec_id"]] @ unit[q]) < 1e-12 for r in mine)
+            hits += len(set(want) & {r["vec_id"] for r in mine})
+            if q in (150, 600):
+                assert [r["vec_id"] for r in mine] == [i for i in (150, 600, 601, 602, 603, 604, 605) if i != q][:5]
+        assert hits >= 0.95 * 65 and len(got) == 65
+    assert ann.nearest(vectors.where("vec_id < 3"), vectors.where("vec_id = 0")).count() == 2
+    assert ann.nearest(vectors.where("vec_id < 1"), vectors.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [500, 20_000])
+def test_pigeonhole_finds_every_code(rows):
     rng = np.random.default_rng(1)
-    packed = rng.integers(0, 256, size=(500, 4), dtype=np.uint8)
-    for radius in (0, 3, 9, 14):
-        assert set(ann.MultiIndex(packed).within(packed[7], radius).tolist()) == set(np.flatnonzero(np.bitwise_count(packed ^ packed[7]).sum(axis=1) <= radius).tolist())
+    packed = rng.integers(0, 256, size=(rows, 8), dtype=np.uint8)
+    index = ann.MultiIndex(packed, 64)
+    for radius in (0, 3, 9, 14, 22, 40):
+        assert set(index.within(packed[7], radius).tolist()) == set(np.flatnonzero(np.bitwise_count(packed ^ packed[7]).sum(axis=1) <= radius).tolist())
 
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert licences.scan_licences(none).count() == bpe.count_tokens(none, f"{TOKENIZERS}/byte_bpe_50k.json", 9).count() == 0
+    assert licences.scan_licences(none).count() == bpe.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json"), 9).count() == 0
     assert repeats.remove_repeats(none).count() == jaccard.link_documents(none)[0].count() == chaining.find_passages(none).count() == 0
     assert decontam.decontaminate(none, spark.createDataFrame([], "item_id string, text string"))[0].count() == 0
     assert ann.nearest(vectors, vectors).count() == 0
