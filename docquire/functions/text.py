@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 #: Parts of a page without text, removed in this order, before tags.
 NO_TEXT = [r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->", r"(?is)<nav.*?</nav>"]
+#: Entities decoded in a page's text, the ampersand last so that none is decoded twice (fixed values).
+ENTITIES = {
+    "&nbsp;": " ",
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&apos;": "'",
+    "&#39;": "'",
+    "&copy;": "\u00a9",
+    "&amp;": "&",
+}
 TAG, BLANKS = r"<[^>]*>", r"[ \t\r\n]+"
 
 
@@ -20,10 +31,12 @@ def normalise(text: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Text of a page: no scripts, styles, comments, navigation or tags."""
-    for pattern in NO_TEXT:
+    """Text of a page: no scripts, styles, comments, navigation or tags, entities decoded; null stays null."""
+    for pattern in [*NO_TEXT, TAG]:
         html = F.regexp_replace(html, pattern, " ")
-    return collapse(F.regexp_replace(html, TAG, " "))
+    for entity, character in ENTITIES.items():
+        html = F.replace(html, F.lit(entity), F.lit(character))
+    return collapse(html)
 
 
 def word_count(text: Column) -> Column:

@@ -21,7 +21,8 @@ def corpus_summary(docs: DataFrame) -> DataFrame:
 
 
 def host_counts(pages: DataFrame) -> DataFrame:
-    return pages.groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n_pages"))
+    """Pages of each host; URLs that can't be parsed count as null."""
+    return pages.groupBy(F.try_parse_url("url", F.lit("HOST")).alias("host")).agg(F.count("*").alias("n_pages"))
 
 
 def label_coverage(docs: DataFrame, labels: DataFrame) -> DataFrame:

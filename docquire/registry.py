@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquire.functions.text import BLANKS, NO_TEXT, TAG, html_text, normalise
+from docquire.functions.text import BLANKS, ENTITIES, NO_TEXT, TAG, html_text, normalise
 from docquire.operators import fields
 from docquire.plans import summaries
 from docquire.sources import tables
@@ -45,8 +45,8 @@ def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").select("doc_id", normalise(F.col("text")).alias("text"))
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.extract(tables.read(spark, sf_dir, "documents"))
+def _fields(spark: SparkSession, sf_dir: str, keep: tuple = ("doc_id",)) -> DataFrame:
+    return fields.extract(tables.read_spread(spark, sf_dir, "documents"), keep=list(keep))
 
 
 def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,18 +57,23 @@ def field_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.to_record(_fields(spark, sf_dir), list(fields.RULES))
 
 
-def _violations(records: DataFrame) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.transform(F.split("ip", "[.]"), lambda x: x.cast("int"))
-    return fields.validate(records, {"ip_range": ("ip", ~F.exists(parts, lambda x: x > 255)), "no_secret": ("secret", F.col("secret").isNull())})
+    rules = {"ip_range": ("ip", ~F.exists(parts, lambda x: x > 255)), "no_secret": ("secret", F.col("secret").isNull())}
+    return fields.judge(field_records(spark, sf_dir), rules)
 
 
 def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _violations(field_records(spark, sf_dir))
+    return fields.violations(_judged(spark, sf_dir))
 
 
 def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = field_records(spark, sf_dir)
-    return fields.route(records, _violations(records))[0].select("doc_id", "n_values")
+    return fields.route(_judged(spark, sf_dir))[0].select("doc_id", "n_values")
+
+
+def quarantined_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = fields.route(_judged(spark, sf_dir))[1]
+    return bad.select("doc_id", "n_values", F.array_join(F.col("violations.rule_id"), ",").alias("rules"))
 
 
 def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +84,11 @@ def consolidated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.consolidate(_fields(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (corpus_summary, document_profile, host_counts, label_coverage, unified_documents, assembled_conversations, page_texts, normalised_texts, extracted_fields, field_records, record_violations, accepted_records, linked_documents, consolidated_values)}
+def preferred_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.preferred(_fields(spark, sf_dir, ("doc_id", "source")), "source")
+
+
+QUERIES = {f.__name__: f for f in (corpus_summary, document_profile, host_counts, label_coverage, unified_documents, assembled_conversations, page_texts, normalised_texts, extracted_fields, field_records, record_violations, accepted_records, quarantined_records, linked_documents, consolidated_values, preferred_values)}
 
 
 def _squeeze(text: str) -> str:
@@ -89,13 +98,16 @@ def _squeeze(text: str) -> str:
 def _page(html: str) -> str:
     for p in [*NO_TEXT, TAG]:
         html = f"regexp_replace({html}, '{p}', ' ', 'g')"
+    for entity, character in ENTITIES.items():
+        html = "replace({}, '{}', '{}')".format(html, entity, character.replace("'", "''"))
     return _squeeze(html)
 
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 _TALK = "SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_turns FROM conversations GROUP BY conv_id"
-_HITS = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field, regexp_extract_all(text, '{p}') AS hits FROM documents" for f, p in fields.RULES.items())
-_FIELDS = f"SELECT doc_id, field, (unnest(range(len(hits))))::INT AS ordinal, unnest(hits) AS value FROM ({_HITS}) WHERE len(hits) > 0"
+_HITS = " UNION ALL ".join(f"SELECT doc_id, source, '{f}' AS field, regexp_extract_all(text, '{rule.sql_pattern()}') AS hits FROM documents" for f, rule in fields.RULES.items())
+_SOURCED = f"SELECT doc_id, source, field, (unnest(range(len(hits))))::INT AS ordinal, unnest(hits) AS value FROM ({_HITS}) WHERE len(hits) > 0"
+_FIELDS = f"SELECT doc_id, field, ordinal, value FROM ({_SOURCED})"
 _RECORDS = f"SELECT doc_id, {', '.join(f'''min(CASE WHEN field = '{n}' THEN value END) AS {n}''' for n in fields.RULES)}, count(*) AS n_values FROM ({_FIELDS}) GROUP BY doc_id"
 _BROKEN = f"SELECT doc_id, 'ip_range' AS rule_id, 'ip' AS field FROM ({_RECORDS}) WHERE len(list_filter(string_split(ip, '.'), lambda x: x::INT > 255)) > 0 UNION ALL SELECT doc_id, 'no_secret', 'secret' FROM ({_RECORDS}) WHERE secret IS NOT NULL"
 _CLEAN = _squeeze("coalesce(text, '')")
@@ -113,6 +125,8 @@ ORACLE_SQL: dict[str, str] = {
     "field_records": _RECORDS,
     "record_violations": _BROKEN,
     "accepted_records": f"SELECT doc_id, n_values FROM ({_RECORDS}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_BROKEN}))",
+    "quarantined_records": f"SELECT doc_id, n_values, rules FROM ({_RECORDS}) JOIN (SELECT doc_id, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM ({_BROKEN}) GROUP BY doc_id) USING (doc_id)",
     "linked_documents": f"WITH o AS (SELECT DISTINCT field, value, doc_id FROM ({_FIELDS})), f AS (SELECT field, value, min(doc_id) AS first_doc FROM o GROUP BY ALL) SELECT field, value, doc_id, first_doc FROM o JOIN f USING (field, value) WHERE doc_id <> first_doc",
     "consolidated_values": f"SELECT field, value, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS n_docs, count(*) AS n_values FROM ({_FIELDS}) GROUP BY ALL",
+    "preferred_values": f"SELECT source, field, value, n_docs, first_doc FROM (SELECT *, row_number() OVER (PARTITION BY source, field ORDER BY n_docs DESC, first_doc, value) AS r FROM (SELECT source, field, value, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM ({_SOURCED}) GROUP BY ALL)) WHERE r = 1",
 }

@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, dealt out where its files would leave most cores idle; larger tables keep their splits."""
+    df, want = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _shape(df: DataFrame, src: str, key: str, text, lang=None, source=None) -> DataFrame:
     none = F.lit(None).cast("string")
     return df.select(
@@ -25,7 +31,7 @@ def from_documents(df: DataFrame) -> DataFrame:
 
 
 def from_pages(df: DataFrame) -> DataFrame:
-    return _shape(df, "pages", "page_id", html_text(F.col("html")), source=F.parse_url(F.col("url"), F.lit("HOST")))
+    return _shape(df, "pages", "page_id", html_text(F.col("html")), source=F.try_parse_url(F.col("url"), F.lit("HOST")))
 
 
 def assemble(conversations: DataFrame) -> DataFrame:
