@@ -73,6 +73,13 @@ def slices(column: pa.Array, rows: int = 512) -> Iterator[pa.Array]:
         yield column.slice(start, rows)
 
 
+def batch_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, for the same reason."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys from a sorted stream; the open run waits for the batches it goes on in."""
     held: list[pa.Table] = []

@@ -10,7 +10,12 @@ Windows can thus only be equal within one anchor's bucket:
    common prefixes gives the tree of common-prefix intervals; an interval is a repeat group with all its occurrences,
    and the text to the left of its members tells how far each repeat extends there (left-extension diversity). A window
    is a repeat if the part right of the anchor fits an interval's prefix and the part left of it is shared by two members.
-4. Buckets of too many distinct contexts for one task are counted window by window instead, with map-side combine.
+4. A bucket of too many distinct contexts for one task is split by more of what its windows hold. Windows with the anchor
+   at places a to b in them have at least a bytes left of it and all but b right of it, so contexts are dealt again by
+   those bytes, for the lower and the upper half of the places, and so on until every bucket fits. At a single place
+   the bytes are the whole window, and its bucket is one interval.
+
+Texts are told apart by 64-bit hashes: contexts and whole copies that occur twice are not compared byte by byte.
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquire.llm.common import bit_filter, group_bounds, groups, in_filter, mix, signed, spread, written
+from docquire.llm.common import batch_slices, bit_filter, group_bounds, groups, in_filter, mix, signed, spread, written
 
 ANCHOR = 64
 #: Distinct contexts (of under 2 * length bytes) that one bucket may bring to a task.
 BUCKET = 4096
 _FILTER_BITS = 1 << 27
-_PIECE = 1 << 20  # bytes hashed in one go; longer texts go through in overlapping pieces
+_PIECE = 1 << 18  # bytes hashed in one go; longer texts go through in overlapping pieces
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(1 << 63, dtype=np.uint64, size=256) * np.uint64(2) + np.uint64(1)
 _STEP = _rng.integers(1 << 62, dtype=np.uint64, size=8) * np.uint64(2) + np.uint64(1)
@@ -130,8 +135,10 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((common, start))
 
 
-def repeated_windows(contexts: list[tuple[bytes, int]], length: int) -> list[list[tuple[int, int]]]:
-    """For each (bytes, anchor place) of a bucket of distinct contexts: ranges of window starts that another shares."""
+def repeated_windows(contexts: list[tuple[bytes, int]], length: int, low: int = 0, high: int | None = None) -> list[list[tuple[int, int]]]:
+    """For each (bytes, anchor place) of a bucket of distinct contexts: ranges of window starts that another shares, of
+    windows with the anchor at places `low` to `high` in them."""
+    high = length if high is None else high
     order = sorted(range(len(contexts)), key=lambda i: contexts[i][0][contexts[i][1] :])
     right = [contexts[i][0][contexts[i][1] :] for i in order]
     left = [contexts[i][0][: contexts[i][1]][::-1] for i in order]
@@ -145,7 +152,7 @@ def repeated_windows(contexts: list[tuple[bytes, int]], length: int) -> list[lis
             most = max(shared[j - 1] if j else -1, shared[j] if j < len(shared) else -1)
             if most >= least:
                 text, place = contexts[order[m]]
-                a, b = max(0, place - most), min(place - least, len(text) - length)
+                a, b = max(0, place - most, place - high), min(place - least, place - low, len(text) - length)
                 if a <= b:
                     found[order[m]].append((a, b))
     return [merge_ranges(f) for f in found]
@@ -162,17 +169,54 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _bucket_ranges(bodies: DataFrame, length: int, bucket: int) -> DataFrame:
+    """c, ranges: window starts of each context (h, c, place, bytes) that another context of its bucket shares."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, ["k"]):
+            c, place, body, low, high = (part.column(n).to_pylist() for n in ("c", "place", "bytes", "low", "high"))
+            bounds = group_bounds(part, ["k"]).tolist()
+            out = []
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                out += repeated_windows([(body[i], place[i]) for i in range(s, e)], length, low[s], high[s])
+            got = [[{"start": a, "end": b} for a, b in o] for o in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(got, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["c", "ranges"])
+
+    room = length - ANCHOR
+    dealt = bodies.select("h", "c", "place", "bytes", F.lit(0).alias("low"), F.lit(room).alias("high"), F.col("h").alias("k"), "m")
+    found = None
+    while True:
+        usual = dealt.where(F.col("m") <= bucket).select("k", "c", "place", "bytes", "low", "high").repartition("k").sortWithinPartitions("k")
+        ranges = usual.mapInArrow(scan, f"c long, ranges {_SPAN}").where(F.size("ranges") > 0)
+        found = ranges if found is None else found.union(ranges)
+        large = dealt.where(F.col("m") > bucket)
+        if large.isEmpty():
+            return found
+        single = F.array(F.struct((F.col("place") - F.col("low")).alias("start"), (F.col("place") - F.col("low")).alias("end")))
+        found = found.union(large.where("low = high").select("c", single.alias("ranges")))
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct("low", middle.alias("high")), F.struct((middle + 1).alias("low"), "high"))).alias("half")
+        split = large.where("low < high").select("h", "c", "place", "bytes", halves).select("h", "c", "place", "bytes", "half.*")
+        right = ANCHOR + room - F.col("high")
+        split = split.where((F.col("place") >= F.col("low")) & (F.octet_length("bytes") - F.col("place") >= right))
+        keyed = split.withColumn("k", F.xxhash64("h", "low", "high", F.expr(f"substring(bytes, place - low + 1, low + {ANCHOR + room} - high)")))
+        keyed = written(keyed, "split")
+        counts = written(keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+        dealt = written(keyed.join(counts.hint("merge"), "k").select("h", "c", "place", "bytes", "low", "high", "k", "m"), "open")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """Add n_bytes, n_removed, spans (maximal removed runs of bytes) and kept (the remaining bytes) to every row.
 
     Null or empty text has no bytes. Texts of fewer than `length` bytes lose nothing. Repeated rows are separate
     documents, so both lose all windows they have. Other columns pass through but the text itself; columns with the
-    new names are replaced.
+    new names or named text_key are replaced. An empty table stays empty.
     """
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "spans", "kept", "text_key")]
     raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
-    docs = spread(docs.select(*[F.col(f"`{c}`") for c in rest], raw.alias("text"), F.xxhash64(raw).alias("text_key")))
+    kinds = [docs.schema[c] for c in rest]
+    docs = spread(docs.select(*[F.col(f"`{c}`").alias(f"rest{i}") for i, c in enumerate(rest)], raw.alias("text"), F.xxhash64(raw).alias("text_key")))
     source = docs.select("text_key", "text")
 
     def occurrence(batch: pa.RecordBatch, found: dict) -> np.ndarray:
@@ -181,7 +225,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
-        for batch in batches:
+        for batch in batch_slices(batches):
             for found in anchors.find(batch.column(1).to_pylist(), False):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found["h"])), pa.array(signed(occurrence(batch, found)))], names=["h", "id"])
 
@@ -190,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, allowed = Anchors(length), repeated.value
-        for batch in batches:
+        for batch in batch_slices(batches):
             keys = batch.column(0).to_numpy()
             for found in anchors.find(batch.column(1).to_pylist(), True):
                 on = in_filter(allowed, found["h"])
@@ -205,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, allowed = Anchors(length), wanted.value
-        for batch in batches:
+        for batch in batch_slices(batches):
             for found in anchors.find(batch.column(1).to_pylist(), True):
                 on = np.flatnonzero(in_filter(allowed, found["c"]))
                 parts = [found["raw"][a:b] for a, b in zip(found["from"][on].tolist(), found["to"][on].tolist(), strict=True)]
@@ -214,37 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
     fetched = source.mapInArrow(fetch, "h long, c long, place int, bytes binary").groupBy("c").agg(F.first("h").alias("h"), F.first("place").alias("place"), F.first("bytes").alias("bytes"))
     bodies = written(fetched.join(open_contexts.hint("merge"), "c"), "bodies")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in groups(batches, ["h"]):
-            c, place, body = part.column("c").to_numpy(), part.column("place").to_numpy(), part.column("bytes").to_pylist()
-            bounds = group_bounds(part, ["h"]).tolist()
-            out = []
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                out += repeated_windows([(body[i], int(place[i])) for i in range(s, e)], length)
-            got = [[{"start": a, "end": b} for a, b in o] for o in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(got, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["c", "ranges"])
-
-    usual = bodies.where(F.col("m") <= bucket).select("h", "c", "place", "bytes").repartition("h").sortWithinPartitions("h")
-    ranges = usual.mapInArrow(scan, f"c long, ranges {_SPAN}").where(F.size("ranges") > 0)
-    large = bodies.where(F.col("m") > bucket)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, body in zip(batch.column("c").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                n = len(body) - length + 1
-                h = _BYTE[np.frombuffer(body, dtype=np.uint8)]
-                total = np.zeros(n, dtype=np.uint64)
-                other = np.zeros(n, dtype=np.uint64)
-                for j in range(length):
-                    total = total * np.uint64(_X) + h[j : j + n]
-                    other = other * _STEP[3] + h[j : j + n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32)), pa.array(signed(mix(total))), pa.array(signed(mix(other)))], names=["c", "at", "w1", "w2"])
-
-    if not large.isEmpty():
-        each = written(large.mapInArrow(windows, "c long, at int, w1 long, w2 long"), "windows")
-        many = each.groupBy("w1", "w2").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("w1", "w2")
-        again = each.join(many.hint("merge"), ["w1", "w2"]).select("c", F.array(F.struct(F.col("at").alias("start"), F.col("at").alias("end"))).alias("ranges"))
-        ranges = ranges.union(again)
+    ranges = _bucket_ranges(bodies, length, bucket)
     whole = contexts.where("whole").select("c", F.array(F.struct(F.lit(0).alias("start"), F.col("last").alias("end"))).alias("ranges"))
     covered = rows.select("c", "text_key", "lo").join(whole.union(ranges).hint("merge"), "c").select("text_key", "lo", F.explode("ranges").alias("r"))
     spans = covered.select("text_key", (F.col("lo") + F.col("r.start")).alias("start"), (F.col("lo") + F.col("r.end") + length).alias("end"))
@@ -252,10 +266,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
     spans = spans.union(copies.select("text_key", F.lit(0).alias("start"), "end"))
     per_text = written(spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
     joined = docs.join(per_text.hint("merge"), "text_key", "left").drop("text_key")
-    at_text, at_found = joined.columns.index("text"), joined.columns.index("found")
+    at_text, at_found = len(rest), len(rest) + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batch_slices(batches):
             n, removed, kept, runs = [], [], [], []
             for body, found in zip(batch.column(at_text).to_pylist(), batch.column(at_found).to_pylist(), strict=True):
                 merged = merge_ranges([(f["start"], f["end"] - 1) for f in found or []])
@@ -268,5 +282,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
             new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([*own, *new], names=[*rest, "n_bytes", "n_removed", "spans", "kept"])
 
-    schema = T.StructType([*(docs.schema[i] for i in range(len(rest))), *T.StructType.fromDDL(f"n_bytes long, n_removed long, spans {_SPAN}, kept binary").fields])
+    schema = T.StructType([*kinds, *T.StructType.fromDDL(f"n_bytes long, n_removed long, spans {_SPAN}, kept binary").fields])
     return joined.mapInArrow(cut, schema)

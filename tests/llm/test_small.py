@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docquire.llm import ann, bpe, chaining, common, decontam, jaccard, langid, licences, quality, repeats
@@ -126,9 +127,14 @@ def test_quality_learns_and_scores_empty_texts(spark):
     assert got[200]["score"] == got[201]["score"] and 0 <= got[200]["score"] <= 1
 
 
-@pytest.mark.parametrize("bucket", [0, 4096])
+@pytest.mark.parametrize("bucket", [0, 3, 4096])
 def test_repeated_bytes_against_brute_force(spark, texts, bucket):
-    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, texts), bucket=bucket).collect()}
+    rng = random.Random(14)
+    shared = sentence(rng, 70)
+    texts = texts + [sentence(rng, 8) + shared[rng.randrange(60) : len(shared) - rng.randrange(60)] + sentence(rng, 8) for _ in range(12)]
+    docs = frame(spark, texts).withColumn("found", F.lit("f")).withColumn("text_", F.lit(1))
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs, bucket=bucket).collect()}
+    assert all((r["found"], r["text_"], r["score"], r["_row"]) == ("f", 1, "x", 1) for r in got.values())
     raw = [(t or "").encode() for t in texts]
     seen = {}
     for b in raw:
@@ -143,6 +149,22 @@ def test_repeated_bytes_against_brute_force(spark, texts, bucket):
         assert len(got[i]["spans"]) == sum(j not in gone and j + 1 in gone or j == -1 and 0 in gone for j in range(-1, len(b)))
 
 
+@pytest.mark.parametrize("low, high", [(0, 136), (0, 68), (69, 136), (40, 40)])
+def test_windows_of_a_bucket_against_brute_force(low, high):
+    rng = random.Random(low)
+    base = bytes(rng.randrange(97, 123) for _ in range(336))
+    contexts = set()
+    for _ in range(25):
+        a, b = rng.randrange(137), rng.randrange(200, 337)
+        contexts.add((bytes(rng.randrange(97, 123) for _ in range(20)) * (rng.random() < 0.5) + base[a:b] + bytes(rng.randrange(97, 123) for _ in range(9)), a))
+    contexts = [(body, 136 - a + (20 if not base.startswith(body[:5], a) else 0)) for body, a in contexts]
+    contexts = [(body, place) for body, place in contexts if body[place : place + 64] == base[136:200]]
+    windows = [{s: body[s : s + 200] for s in range(max(0, place - high), min(place - low, len(body) - 200) + 1)} for body, place in contexts]
+    for i, found in enumerate(repeats.repeated_windows(contexts, 200, low, high)):
+        others = {(w, contexts[j][1] - s) for j, x in enumerate(windows) if j != i for s, w in x.items()}
+        assert {s for a, b in found for s in range(a, b + 1)} == {s for s, w in windows[i].items() if (w, contexts[i][1] - s) in others}
+
+
 def test_common_prefix_intervals():
     assert list(repeats.intervals([2, 3, 0, 1])) == [(3, 1, 2), (2, 0, 2), (1, 3, 4)]
 
