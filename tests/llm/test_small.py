@@ -254,6 +254,44 @@ def test_passages_are_found_and_removed(spark, texts):
     assert len(left[at + 1].split()) == 50
 
 
+def test_passages_of_odd_rows(spark):
+    """Clashing names, a key with several texts, nulls, and a passage whose parts lie in other earlier documents."""
+    rng = random.Random(31)
+    some = lambda n: sentence(rng, n, 9000)
+    passage = some(80)
+    words = passage.split()
+    early = [" ".join([some(20), *words[7 * i : 7 * i + 24], some(20)]) for i in range(9)]
+    texts = [*early, some(30) + " " + passage, some(40) + " " + passage]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10, "zz " + some(90)), (20, None), (None, passage), (21, ""), (22, passage.upper() + " " + some(60))]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, len(t or "")) for i, t in rows], "doc_id long, text string, _doc int, _spans int, n_chars long, size long")
+    docs = docs.withColumnRenamed("size", "passages_of")
+    found = chaining.find_passages(docs)
+    assert {(r["doc_id"], r["other_id"]) for r in found.collect()} == {(10, 9), (22, 9)}
+    left = chaining.remove_passages(docs, found).collect()
+    assert {(r["doc_id"], r["text"]) for r in left if r["doc_id"] not in (10, 22)} == {r for r in rows if r[0] not in (10, 22)}
+    assert sorted(len(r["text"].split()) for r in left if r["doc_id"] in (10, 22)) == [40, 60, 91]
+    assert all((r["_doc"], r["_spans"], r["n_chars"]) == (1, 2, 3 if r["text"] is None else len(r["text"])) for r in left)
+    assert {r["passages_of"] for r in left} == {len(t or "") for _, t in rows}
+
+
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.05, 0.9)])
+def test_recall_of_passages(spark, share, least):
+    """Passages of 100 words in pairs of documents, some words replaced: at least half of the passage must be found."""
+    rng = random.Random(int(share * 100))
+    texts, places = [], []
+    for _ in range(60):
+        words = sentence(rng, 100, 9000).split()
+        texts.append(" ".join([sentence(rng, 30, 9000), *words, sentence(rng, 20, 9000)]))
+        changed = [f"q{rng.randrange(9000)}" if rng.random() < share else w for w in words]
+        texts.append(" ".join([sentence(rng, 25, 9000), *changed, sentence(rng, 30, 9000)]))
+        places.append(range(25, 125))
+    got: dict[int, set] = {}
+    for r in chaining.find_passages(frame(spark, texts)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert sum(len(got.get(2 * i + 1, set()) & set(p)) >= 50 for i, p in enumerate(places)) >= least * len(places)
+    assert not any(i % 2 == 0 for i in got)
+
+
 def test_chain_bridges_gaps_but_not_disorder():
     assert chaining.chain([0, 10, 20, 30], [100, 110, 121, 131], 6, 0.05) == [(0, 36, 100, 137)]
     assert len(chaining.chain([0, 10, 20], [20, 10, 0], 6, 0.05)) == 3
