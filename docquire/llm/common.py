@@ -280,7 +280,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     seen = None
     while True:
         both = pairs("a", "b").union(pairs("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written out, so that the join can split a hub's rows: an aggregate right below it would tie them to one task
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         edges_now = written(large.where("a <> b").distinct(), label)
         down = edges_now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
