@@ -122,8 +122,12 @@ def ragged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, so a lost executor costs no recomputation."""
+def written(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, so a lost executor costs no recomputation.
+
+    With `free`, the driver collects its garbage afterwards: shuffle files that only the written rows needed then go from
+    the executors' disks at once, and not when memory happens to run short on the driver.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/docquire-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH)
@@ -132,6 +136,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
