@@ -215,20 +215,25 @@ def gram_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
     return mix(total[text[:n] == text[k - 1 :]]), np.concatenate([[0], np.cumsum(counts)])
 
 
-def winnow(hashes: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
+def winnow(hashes: np.ndarray, bounds: np.ndarray, window: int, limit: int = 1 << 24) -> np.ndarray:
     """Indices of the leftmost minimum of every window of consecutive hashes of a text (of all, where it has fewer).
 
-    Hashes are compared by their upper 40 bits, then by place, so equal windows always choose the same place.
+    Hashes are compared by their upper 40 bits, then by place, so equal windows always choose the same place. More than
+    `limit` hashes (2^24 at most, the places that fit beside 40 bits) are taken in parts.
     """
     if not len(hashes):
         return np.empty(0, dtype=np.int64)
-    if len(hashes) >= 1 << 24:
-        half = int(np.searchsorted(bounds, len(hashes) // 2))
-        cut = int(bounds[half]) if 0 < half < len(bounds) - 1 else 0
-        if 0 < cut < len(hashes):
-            return np.concatenate([winnow(hashes[:cut], bounds[: half + 1], window), cut + winnow(hashes[cut:], bounds[half:] - cut, window)])
-        steps = range(0, len(hashes) - window + 1, 1 << 23)  # one text of many millions of words: overlapping pieces
-        parts = [s + winnow(hashes[s : s + (1 << 23) + window - 1], np.array([0, min(len(hashes) - s, (1 << 23) + window - 1)]), window) for s in steps]
+    if len(hashes) >= limit:
+        inner = np.flatnonzero((bounds > 0) & (bounds < len(hashes)))
+        if len(inner):  # cut between two texts, as near to the middle as can be
+            half = int(inner[np.abs(bounds[inner] - len(hashes) // 2).argmin()])
+            cut = int(bounds[half])
+            return np.concatenate([winnow(hashes[:cut], bounds[: half + 1], window, limit), cut + winnow(hashes[cut:], bounds[half:] - cut, window, limit)])
+        size = limit // 2  # one text of very many words: overlapping pieces
+        parts = []
+        for start in range(0, len(hashes) - window + 1, size):
+            piece = hashes[start : start + size + window - 1]
+            parts.append(start + winnow(piece, np.array([0, len(piece)]), window, limit))
         return np.unique(np.concatenate(parts))
     low = np.uint64((1 << 24) - 1)
     key = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)

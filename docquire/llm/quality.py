@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquire.llm.common import spread, word_hashes
+from docquire.llm.common import slices, spread, word_hashes
 
 WORDS = 4096  # slots for hashed words
 BINS = 16  # bins of each statistic
@@ -99,7 +99,8 @@ class FactorisationMachine:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 12_000) -> FactorisationMachine:
     """Fit on about `sample` labelled rows chosen by a hash of the key (all, where there are fewer).
 
-    Null keys and labels take no part; several labels of a key count as their largest; a labelled null text is empty.
+    Null keys and labels take no part; several labels of a key count as their largest; a labelled null text is empty; rows
+    that repeat a labelled key all count. Without labels, or with one class only, the score is a constant.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     n = known.count()
@@ -118,7 +119,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 
 def score(docs: DataFrame, model: FactorisationMachine, text: str = "text") -> DataFrame:
-    """Add score and predicted (1 from 0.5 up) to every row from its whole text; null counts as empty. No shuffle."""
+    """Add score and predicted (1 from 0.5 up) to every row from its whole text; null counts as empty. No shuffle.
+
+    Repeated rows get the same score and ties can't arise. Other columns pass through; columns with the new names are
+    replaced; an empty table stays empty.
+    """
     docs = spread(docs.drop("score", "predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text)
@@ -126,7 +131,7 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            scores = [known.score(*features((x or "").encode())) for x in batch.column(column).to_pylist()]
+            scores = [known.score(*features((x or "").encode())) for part in slices(batch.column(column)) for x in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
 
     rows = written(source.mapInArrow(occurrences, "h long, c long, id long, text_key long, lo int, hi int"), "occurrences")
     contexts = written(rows.groupBy("c").agg(F.first("h").alias("h"), (F.min("id") != F.max("id")).alias("whole"), F.max(F.col("hi") - F.col("lo")).alias("last")), "contexts")
-    buckets = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = written(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "buckets")  # so the join can split a common anchor
     open_contexts = written(contexts.join(buckets.hint("merge"), "h").select("c", "m"), "open")
     wanted = spark.sparkContext.broadcast(bit_filter(open_contexts, "c", _FILTER_BITS))
 

@@ -415,3 +415,78 @@ def test_empty_tables(spark):
     assert repeats.remove_repeats(none).count() == jaccard.link_documents(none)[0].count() == chaining.find_passages(none).count() == 0
     assert decontam.decontaminate(none, spark.createDataFrame([], "item_id string, text string"))[0].count() == 0
     assert ann.nearest(vectors, vectors).count() == 0
+
+
+def test_winnowing_in_parts_chooses_the_same():
+    rng = np.random.default_rng(9)
+    for bounds in ([0, 5000], [0, 10, 10, 2600, 2603, 5000]):
+        hashes, bounds = rng.integers(1 << 63, size=5000, dtype=np.uint64), np.array(bounds)
+        assert common.winnow(hashes, bounds, 9).tolist() == common.winnow(hashes, bounds, 9, limit=256).tolist()
+
+
+def test_grams_of_long_texts_in_slices(monkeypatch):
+    text = ("Abc dEf, " * 3000).encode()
+    whole = np.sort(np.concatenate(list(langid.grams(text))))
+    monkeypatch.setattr(langid, "_SLICE", 1000)
+    assert np.array_equal(np.sort(np.concatenate(list(langid.grams(text)))), whole)
+
+
+def test_filters_decide_like_exact_sets():
+    """Bit-sliced Bloom filters with corrected counts against counting in the sets themselves."""
+    rng = random.Random(23)
+    alphabet = {"a": "abcdefgh", "b": "efghijkl", "c": "mnopqrst"}
+    word = lambda lang: "".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(2, 7)))
+    known = {lang: np.unique(np.concatenate(list(langid.grams(" ".join(word(lang) for _ in range(3000)).encode())))) for lang in alphabet}
+    filters = langid.LanguageFilters.build(known)
+    for _ in range(300):
+        text = " ".join(word(rng.choice("abc" if rng.random() < 0.3 else "ab")) for _ in range(rng.randint(1, 40))).encode()
+        found = np.concatenate(list(langid.grams(text)))
+        counts = [int(np.isin(found, known[lang]).sum()) for lang in filters.languages]
+        best, share = filters.decide(text)
+        assert counts[best] >= max(counts) - 0.02 * len(found) - 1 and abs(share - counts[best] / max(1, sum(counts))) < 0.05
+
+
+def test_long_texts(spark):
+    """Texts over 1 MB, alone and repeated, through every operator on documents."""
+    rng = random.Random(44)
+    long = sentence(rng, 250_000, 9000)
+    assert len(long) > 1 << 20
+    docs = frame(spark, [long, "mit license " + long, sentence(rng, 300, 9000)])
+    rows = licences.scan_licences(docs).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_base"]) for r in rows] == [(250_000, 0), (250_002, 1), (300, 0)]
+    assert [r["n_shingles"] for r in jaccard.link_documents(docs)[0].orderBy("doc_id").collect()][0] > 249_000
+    assert [r["component_id"] for r in jaccard.link_documents(docs)[0].orderBy("doc_id").collect()] == [0, 0, 2]
+    item = spark.createDataFrame([("1", " ".join(long.split()[200_000:200_012]))], "item_id string, text string")
+    assert [r["n_hit"] for r in decontam.decontaminate(docs, item)[0].orderBy("doc_id").collect()] == [12, 12, 0]
+    cut = repeats.remove_repeats(docs).orderBy("doc_id").collect()
+    assert [(r["n_removed"], len(r["kept"])) for r in cut] == [(len(long), 0), (len(long), 12), (0, r2 := len(cut[2]["kept"]))] and r2 > 1000
+    spans = chaining.find_passages(docs).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in spans} == {(1, 0)} and max(r["end"] for r in spans) == 250_002
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert [bytes(r["decoded"]).decode() for r in bpe.decode(bpe.encode(docs, path), path).orderBy("doc_id").collect()][0] == long
+    json = public_tokenizers.path("byte_bpe_50k.json")
+    assert [r["n_tokens"] for r in bpe.count_tokens(docs, json, 9).orderBy("doc_id").collect()][0] == len(Tokenizer.from_file(json).encode(long).ids)
+
+
+def test_classifiers_of_empty_and_single_class_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
+    docs = frame(spark, ["some text", None])
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(none)).collect()} == {"und"}
+    assert langid.identify(none, langid.learn(none)).count() == 0
+    for known in (labels, labels.where("false")):
+        scores = {r["score"] for r in quality.score(docs, quality.learn(docs, known)).collect()}
+        assert len(scores) == 1 and 0 <= scores.pop() <= 1
+    assert quality.score(none.select("doc_id", "text"), quality.learn(none, labels)).count() == 0
+
+
+def test_merges_of_another_pattern(spark):
+    """A pattern other than the usual one is not cut at spaces first."""
+    pattern = r"[a-z]+ [a-z]+|.|\n"
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["of the people by the people", "one two three", ""]
+    got = bpe.encode(frame(spark, texts), path, pattern=pattern).orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == [library.encode_ordinary(t) for t in texts]
