@@ -1,7 +1,7 @@
 """Byte-level byte-pair encoding: token counts, encoding and decoding.
 
-Counting merges pairs on a linked list with a heap and never looks a merged symbol's id up: a pre-token's count is its
-number of first symbols less its number of merges. Encoding resolves whole pre-tokens through a minimal perfect hash
+Counting merges pairs on a linked list with a heap and emits no ids: a pre-token's count is its number of first symbols
+less its number of merges. Encoding resolves whole pre-tokens through a minimal perfect hash
 over the vocabulary and merges the others over linked bytes. Vocabularies are read once on the driver from the given
 path and broadcast; their size is fixed by the file and does not follow the data.
 """
@@ -27,8 +27,8 @@ from docquire.llm.common import slices, spread
 
 #: Pre-token pattern of the 50k byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes (by estimate) of the chunks that a task remembers; then its store is emptied.
-STORE_BYTES = 48 << 20
+#: Bytes (by estimate) that a Python worker keeps of chunks it has met.
+STORE_BYTES = 160 << 20
 _SAFE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 _SPACE_BETWEEN = regex.compile(r"\s \s|\s \Z")
 
@@ -51,20 +51,77 @@ def cutter(pattern: str):
 
 
 class Store(dict):
-    """What chunks of up to 64 characters have come to, for as long as a task runs and up to STORE_BYTES."""
+    """What chunks of up to 64 characters have come to, in two generations of STORE_BYTES / 2 each.
 
-    room = STORE_BYTES
+    When the younger one is full it becomes the older one, and what is asked for again moves back: frequent chunks stay.
+    """
+
+    def __init__(self):
+        self.older: dict = {}
+        self.room = STORE_BYTES // 2
+
+    def known(self, chunk: str):
+        found = self.older.get(chunk)
+        return None if found is None else self.keep(chunk, found, 4)
 
     def keep(self, chunk: str, value, size: int = 0):
         if len(chunk) <= 64:
             self.room -= 240 + len(chunk) + 8 * size
             if self.room < 0:
+                self.older = dict(self)
                 self.clear()
-                self.room = STORE_BYTES
+                self.room = STORE_BYTES // 2
             self[chunk] = value
         return value
 
 
+_worker: dict = {}
+
+
+def _once(name: tuple, make):
+    """Tables and stores that a Python worker builds once and keeps from task to task; their sizes are bounded."""
+    if name not in _worker:
+        _worker[name] = make()
+    return _worker[name]
+
+
+def merge_pairs(symbols: list[int], rank_of, shift: int, base: int) -> int:
+    """Merge the lowest-ranked adjacent pair of symbols, the leftmost of several, until none has a rank.
+
+    rank_of gives the rank of a pair packed as left << shift | right; the merged symbol is rank + base. Symbols stay at
+    their places in a linked list, merged ones at their left end (the other place is set to -1). A heap holds a pair as
+    rank and left place in one integer, which counts only while the pair that stands there has that rank. Returns the
+    number of merges.
+    """
+    n, done = len(symbols), 0
+    push, pop = heapq.heappush, heapq.heappop
+    heap = [r * n + i for i in range(n - 1) if (r := rank_of(symbols[i] << shift | symbols[i + 1])) is not None]
+    if not heap:
+        return 0
+    heapq.heapify(heap)
+    symbols.append(-1)  # stands beyond either end: a pair with it, or with a merged place, packs to a negative number
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    while heap:
+        entry = pop(heap)
+        left = entry % n
+        right = after[left]
+        rank = rank_of(symbols[left] << shift | symbols[right])
+        if rank is None or rank * n + left != entry:
+            continue
+        done += 1
+        merged = symbols[left] = rank + base
+        symbols[right] = -1
+        end = after[left] = after[right]
+        before[end] = left
+        if (rank := rank_of(merged << shift | symbols[end])) is not None:
+            push(heap, rank * n + left)
+        previous = before[left]
+        if (rank := rank_of(symbols[previous] << shift | merged)) is not None:
+            push(heap, rank * n + previous)
+    symbols.pop()
+    return done
+
+
 # --- counting -------------------------------------------------------------------------------------------------------
 
 
@@ -75,60 +132,40 @@ def byte_alphabet() -> list[str]:
     return [stands.setdefault(b, chr(256 + sum(x not in shown for x in range(b)))) for b in range(256)]
 
 
-def read_merges(path: str) -> tuple[dict[tuple[bytes, bytes], int], list[str]]:
-    """Ranks of the merges of a JSON tokenizer file, and its added tokens, longest first."""
+def read_merges(path: str) -> tuple[dict[int, int], int, list[str]]:
+    """Ranks of the packed pairs of a JSON tokenizer file (symbols: bytes, then 256 + rank of the merge that made them),
+    the bits they are packed by, and its added tokens, longest first."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    to_byte = {c: b for b, c in enumerate(byte_alphabet())}
-    merges = {}
-    for rank, pair in enumerate(spec["model"]["merges"]):
+    symbol_of = {c: b for b, c in enumerate(byte_alphabet())}
+    merges, shift = spec["model"]["merges"], (256 + len(spec["model"]["merges"])).bit_length()
+    ranks = {}
+    for rank, pair in enumerate(merges):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
-        merges[bytes(to_byte[c] for c in left), bytes(to_byte[c] for c in right)] = rank
-    return merges, sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-
-
-def merges_done(raw: bytes, ranks: dict) -> int:
-    """Merges until no adjacent pair of symbols has a rank, the lowest-ranked pair first, from single bytes on.
-
-    ranks gives the rank of a pair (left, right). A symbol is a slice of raw, linked to the starts of its neighbours. A
-    heap entry packs the rank and the three bounds of a pair into one integer, and counts only while two symbols have
-    those bounds. No merged symbol is kept or named: the number of merges is all that a count needs.
-    """
-    n = len(raw)
-    after, before, wide, done = [*range(1, n + 1), -1], list(range(-1, n)), n + 1, 0
-    rank_of, push, pop = ranks.get, heapq.heappush, heapq.heappop
-    entry = lambda r, left, right, end: ((r * wide + left) * wide + right) * wide + end
-    heap = [entry(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank_of((raw[i : i + 1], raw[i + 1 : i + 2]))) is not None]
-    heapq.heapify(heap)
-    while heap:
-        rest, end = divmod(pop(heap), wide)
-        rest, right = divmod(rest, wide)
-        left = rest % wide
-        if after[left] != right or after[right] != end:
-            continue
-        done += 1
-        after[left], after[right], before[end] = end, -1, left
-        if end < n and (r := rank_of((raw[left:end], raw[end : after[end]]))) is not None:
-            push(heap, entry(r, left, end, after[end]))
-        previous = before[left]
-        if previous >= 0 and (r := rank_of((raw[previous:left], raw[left:end]))) is not None:
-            push(heap, entry(r, previous, left, end))
-    return done
+        ranks[symbol_of[left] << shift | symbol_of[right]] = rank
+        symbol_of.setdefault(left + right, 256 + rank)
+    return ranks, shift, sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
 
 
 class ChunkCounts(Store):
     """Tokens of each chunk, merging only what has not been seen: bytes less merges, for each pre-token."""
 
-    def __init__(self, merges: dict[tuple[bytes, bytes], int], pattern: str = PATTERN):
-        self.merges, self.split = merges, regex.compile(pattern).findall
+    def __init__(self, merges: dict[int, int], shift: int, pattern: str = PATTERN):
+        super().__init__()
+        self.rank_of, self.shift, self.split = merges.get, shift, regex.compile(pattern).findall
 
     def __missing__(self, chunk: str) -> int:
+        known = self.known(chunk)
+        if known is not None:
+            return known
         pieces = self.split(chunk)
-        return self.keep(chunk, self.piece(chunk) if len(pieces) == 1 else sum(self.get(p) or self.keep(p, self.piece(p)) for p in pieces))
+        if len(pieces) == 1 and pieces[0] == chunk:
+            return self.keep(chunk, self.piece(chunk))
+        return self.keep(chunk, sum(map(self.__getitem__, pieces)))
 
     def piece(self, piece: str) -> int:
-        raw = piece.encode()
-        return len(raw) - merges_done(raw, self.merges)
+        raw = list(piece.encode())
+        return len(raw) - merge_pairs(raw, self.rank_of, self.shift, 256)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text", pattern: str = PATTERN) -> DataFrame:
@@ -143,8 +180,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text", pat
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, added = shared.value
-        counts, cut = ChunkCounts(merges, pattern), cutter(pattern)
+        merges, shift, added = shared.value
+        counts, cut = _once(("counts", path, pattern), lambda: ChunkCounts(merges, shift, pattern)), cutter(pattern)
         special = regex.compile("|".join(map(regex.escape, added))) if added else None
         for batch in batches:
             tokens = []
@@ -225,34 +262,16 @@ def spot(base: int, displacement: int, size: int) -> int:
     return (h ^ h >> 32) % size
 
 
-def merged_ids(raw: bytes, rank_of) -> list[int]:
-    """Ids of the tokens left when the lowest-ranked adjacent pair is merged until none is, from single bytes on.
-
-    A symbol is a slice of raw, linked to the starts of its neighbours; rank_of gives the rank (and id) of a slice, or
-    None. A heap entry packs rank, left start and end of a pair into one integer, and counts only while two symbols fill it.
-    """
-    n = len(raw)
-    after, before, wide = [*range(1, n + 1), -1], list(range(-1, n)), n + 1
-    push, pop = heapq.heappush, heapq.heappop
-    heap = [(r * wide + i) * wide + i + 2 for i in range(n - 1) if (r := rank_of(raw[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        rest, end = divmod(pop(heap), wide)
-        left = rest % wide
-        right = after[left]
-        if after[right] != end:
-            continue
-        after[left], after[right], before[end] = end, -1, left
-        if end < n and (r := rank_of(raw[left : after[end]])) is not None:
-            push(heap, (r * wide + left) * wide + after[end])
-        previous = before[left]
-        if previous >= 0 and (r := rank_of(raw[previous:end])) is not None:
-            push(heap, (r * wide + previous) * wide + end)
-    ids, i = [], 0
-    while i < n:
-        ids.append(rank_of(raw[i : after[i]]))
-        i = after[i]
-    return ids
+def pair_ranks(tokens: list[bytes]) -> tuple[dict[int, int], int]:
+    """Rank (and id) of what each pair of tokens makes, packed by the ids of the pair, and the bits they are packed by."""
+    ids, shift = {token: i for i, token in enumerate(tokens)}, len(tokens).bit_length()
+    pairs = {}
+    for token, rank in ids.items():
+        for cut in range(1, len(token)):
+            left, right = ids.get(token[:cut]), ids.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[left << shift | right] = rank
+    return pairs, shift
 
 
 class ChunkIds(Store):
@@ -262,26 +281,31 @@ class ChunkIds(Store):
     """
 
     def __init__(self, table: PerfectHash, pattern: str = PATTERN):
+        super().__init__()
         self.table, self.split, self.longest = table, regex.compile(pattern).findall, max(map(len, table.tokens), default=0)
-        self.rank_of = {token: i for i, token in enumerate(table.tokens)}.get  # of slices while merging
+        pairs, self.shift = pair_ranks(table.tokens)
+        self.rank_of = pairs.get
+        self.byte_ids = [table.get(bytes([b])) for b in range(256)]
 
     def __missing__(self, chunk: str) -> list[int]:
+        known = self.known(chunk)
+        if known is not None:
+            return known
         pieces = self.split(chunk)
-        if len(pieces) == 1:
+        if len(pieces) == 1 and pieces[0] == chunk:
             ids = self.piece(chunk)
         else:
-            ids = []
-            for piece in pieces:
-                ids += self.get(piece) or self.hold(piece, self.piece(piece))
-        return self.hold(chunk, ids)
-
-    def hold(self, chunk: str, ids: list[int]) -> list[int]:
+            ids = list(chain.from_iterable(map(self.__getitem__, pieces)))
         return self.keep(chunk, ids, len(ids))
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode()
         whole = self.table.get(raw) if len(raw) <= self.longest else None
-        return merged_ids(raw, self.rank_of) if whole is None else [whole]
+        if whole is not None:
+            return [whole]
+        symbols = list(map(self.byte_ids.__getitem__, raw))
+        merge_pairs(symbols, self.rank_of, self.shift, 0)
+        return [x for x in symbols if x >= 0]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
@@ -295,7 +319,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pat
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = ChunkIds(shared.value, pattern), cutter(pattern)
+        known, cut = _once(("ids", path, pattern), lambda: ChunkIds(shared.value, pattern)), cutter(pattern)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
