@@ -138,7 +138,17 @@ def written(df: DataFrame, label: str, free: bool = False) -> DataFrame:
         spark.conf.set(_BATCH, before)
     if free:
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that `written` made, once everything that reads them has been written itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_words(text: bytes | None) -> list[bytes]:
@@ -294,12 +304,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # written out, so that the join can split a hub's rows: an aggregate right below it would tie them to one task
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges_now = written(large.where("a <> b").distinct(), label)
+        before, edges_now = edges_now, written(large.where("a <> b").distinct(), label)
+        discard(before, least)
         down = edges_now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges_now = written(small.where("a <> b").distinct(), label)
+        before, edges_now = edges_now, written(small.where("a <> b").distinct(), label)
+        discard(before)
         state = edges_now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
-            return edges_now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges_now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+            found = edges_now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges_now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+            found = written(found, label)
+            discard(edges_now)
+            return found
         seen = state

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquire.llm.common import bit_filter, components, gram_hashes, group_bounds, groups, in_filter, mix, portions, ragged, signed, slices, spread, word_hashes, written
+from docquire.llm.common import bit_filter, components, discard, gram_hashes, group_bounds, groups, in_filter, mix, portions, ragged, signed, slices, spread, word_hashes, written
 
 #: Most shingles that the global order ranks by frequency; the order of the others is by hash. Any order gives the same links.
 FREQUENT = 1_000_000
@@ -108,6 +108,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
     if not sizes.where("slices > 1").isEmpty():
         links = links.union(_walk(_rest(large, links, slice_size), known, percent))
     labels = components(links, "labels").select(F.col("node").alias("id"), "component")
+    discard(known)
 
     joined = rows.withColumn("id", F.when(F.col("n_shingles") > 0, F.col("set_id"))).join(labels.hint("merge"), "id", "left")
     joined = written(joined.select("key", "n_shingles", "set_id", F.coalesce("component", "id").alias("component")), "joined")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquire.llm.common import batch_slices, bit_filter, group_bounds, groups, in_filter, mix, signed, spread, written
+from docquire.llm.common import batch_slices, bit_filter, discard, group_bounds, groups, in_filter, mix, signed, spread, written
 
 ANCHOR = 64
 #: Distinct contexts (of under 2 * length bytes) that one bucket may bring to a task.
@@ -264,7 +264,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", bucke
     spans = covered.select("text_key", (F.col("lo") + F.col("r.start")).alias("start"), (F.col("lo") + F.col("r.end") + length).alias("end"))
     copies = docs.groupBy("text_key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("end")).where(F.col("n") > 1).where(F.col("end") >= length)
     spans = spans.union(copies.select("text_key", F.lit(0).alias("start"), "end"))
-    per_text = written(spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    per_text = written(spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans", free=True)
+    discard(rows, contexts, buckets, open_contexts, bodies)
     joined = docs.join(per_text.hint("merge"), "text_key", "left").drop("text_key")
     at_text, at_found = len(rest), len(rest) + 1
 
