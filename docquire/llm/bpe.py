@@ -51,14 +51,14 @@ def cutter(pattern: str):
 
 
 class Store(dict):
-    """What chunks of up to 64 characters have come to, in two generations of STORE_BYTES / 2 each.
+    """What chunks of up to 64 characters have come to, in two generations of half the store's bytes each.
 
     When the younger one is full it becomes the older one, and what is asked for again moves back: frequent chunks stay.
     """
 
-    def __init__(self):
+    def __init__(self, size: int = STORE_BYTES):
         self.older: dict = {}
-        self.room = STORE_BYTES // 2
+        self.half = self.room = size // 2
 
     def known(self, chunk: str):
         found = self.older.get(chunk)
@@ -70,7 +70,7 @@ class Store(dict):
             if self.room < 0:
                 self.older = dict(self)
                 self.clear()
-                self.room = STORE_BYTES // 2
+                self.room = self.half
             self[chunk] = value
         return value
 
@@ -280,8 +280,8 @@ class ChunkIds(Store):
     A pre-token taken by itself is split no further, so one bounded store serves both.
     """
 
-    def __init__(self, table: PerfectHash, pattern: str = PATTERN):
-        super().__init__()
+    def __init__(self, table: PerfectHash, pattern: str = PATTERN, size: int = STORE_BYTES):
+        super().__init__(size)
         self.table, self.split, self.longest = table, regex.compile(pattern).findall, max(map(len, table.tokens), default=0)
         pairs, self.shift = pair_ranks(table.tokens)
         self.rank_of = pairs.get
@@ -308,7 +308,7 @@ class ChunkIds(Store):
         return [x for x in symbols if x >= 0]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN, store_bytes: int = STORE_BYTES) -> DataFrame:
     """Add an array of token ids to every row, from the rank file at path, without special tokens.
 
     Null or empty text gives an empty array. Repeated rows are encoded one by one; nothing can tie. Other columns pass
@@ -319,7 +319,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pat
     column = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = _once(("ids", path, pattern), lambda: ChunkIds(shared.value, pattern)), cutter(pattern)
+        known, cut = _once(("ids", path, pattern, store_bytes), lambda: ChunkIds(shared.value, pattern, store_bytes)), cutter(pattern)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
