@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquire.llm import ann, bpe, chaining, decontam, jaccard, langid, licences, quality, repeats
+from docquire.llm import align, ann, audit, bpe, chaining, decontam, jaccard, langid, licences, quality, repeats, urls
 from docquire.llm.common import fraction, table
 
+
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan_licences(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -65,5 +66,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_language_id, op3_decontamination, op4_token_counts, op5_quality, op6_chained_passages, op7_suffix_array_dedup, op8_byte_bpe, op9_jaccard_join, op10_nearest_neighbours)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return align.weigh(aligned.withColumn("groups_sha256", digest).drop("text", "groups"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.learn(urls.labelled_urls(spark))).drop("url")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_language_id, op3_decontamination, op4_token_counts, op5_quality, op6_chained_passages, op7_suffix_array_dedup, op8_byte_bpe, op9_jaccard_join, op10_nearest_neighbours, op11_token_alignment, op12_url_filter, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op13_filter_audit": audit.SQL}
