@@ -4,17 +4,14 @@ Tokens of both sides become byte intervals. All of them are sorted by start, the
 and a group breaks where a start reaches it; overlaps are expanded within groups. Links are the overlapping pairs that
 end together, and a corpus-wide count of each linked id pair tells how usual a link is.
 
-No token of either vocabulary goes over a single space between visible characters, so texts are cut there and each
-distinct piece is encoded and aligned once in a batch; frequent ones stay in a store of bounded size. Link counts meet
-documents by batch: a batch asks once for each pair it holds, however many links have it.
+Texts are encoded whole by the two libraries and aligned a batch at a time, as arrays. Link counts meet documents by
+batch: a batch asks once for each pair it holds, however many links have it.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from docquire.llm.bpe import Store, _once, byte_alphabet, chunks
+from docquire.llm.bpe import _once, byte_alphabet
 from docquire.llm.common import portions, ragged, spread, written
 
-#: Bytes (by estimate) that a Python worker keeps of aligned pieces, and bytes of text in a batch (one row at least).
-STORE_BYTES, BATCH_TEXT = 96 << 20, 4 << 20
+#: Bytes of text in a batch, and of those that the libraries get at once (one row at least).
+BATCH_TEXT, ENCODED_TEXT = 2 << 20, 256 << 10
 _SPACE = "▁"
 
 
@@ -52,81 +49,100 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.repeat(np.arange(len(ends_a)), last - first), ragged(first, last)
 
 
-class Aligner(Store):
-    """What pieces of text come to: (A tokens, B tokens, groups, groups as text, linked pairs), or False where the bytes
-    of either side's tokens are not those of the piece."""
+class Side:
+    """One tokenizer: how texts become ids, the bytes of each id, and its decimal digits, flush right before a separator."""
 
-    def __init__(self, a_path: str, b_path: str, size: int = STORE_BYTES):
-        super().__init__(size)
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
+    def __init__(self, encode, token_bytes: list[bytes]):
+        self.encode, self.token_bytes = encode, token_bytes
+        self.lengths = np.array(list(map(len, token_bytes)), dtype=np.int64)
+
+    @staticmethod
+    def of_json(path: str) -> Side:
+        """A byte-level tokenizer's JSON file; it encodes a space and the text."""
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = True
         byte_of = {c: i for i, c in enumerate(byte_alphabet())}
-        with open(a_path, encoding="utf-8") as f:
-            spelled = {i: bytes(map(byte_of.get, token)) for token, i in json.load(f)["model"]["vocab"].items() if all(c in byte_of for c in token)}
-        self.a_bytes = [spelled.get(i, b"") for i in range(self.a.get_vocab_size())]
-        piece = self.b.id_to_piece
-        self.b_bytes = [bytes([int(piece(i)[3:-1], 16)]) if self.b.is_byte(i) else piece(i).replace(_SPACE, " ").encode() for i in range(self.b.get_piece_size())]
-        # pieces with a space after another character would go over the cuts
-        self.cut = chunks if not any(_SPACE in piece(i).lstrip(_SPACE) for i in range(self.b.get_piece_size())) else lambda text: [text]
-
-    def look_up(self, pieces: set[str]) -> dict:
-        """What each of the pieces comes to; new ones are encoded together. Every piece starts with a space."""
-        found, new = {}, []
-        for piece in pieces:
-            value = self.get(piece)
-            if value is None and (value := self.known(piece)) is None:
-                new.append(piece)
-            else:
-                found[piece] = value
-        for piece, value in zip(new, self.align(new), strict=True):
-            found[piece] = value
-            self.keep(piece, value, 20 + len(value[3]) // 8 + len(value[4]) if value else 1)
-        return found
-
-    def align(self, pieces: list[str]) -> list:
-        if not pieces:
-            return []
-        a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        fine = []
-        for i, piece in enumerate(pieces):
-            raw = piece.encode()
-            fine.append(b"".join(map(self.a_bytes.__getitem__, a[i])) == raw == b"".join(map(self.b_bytes.__getitem__, b[i])))
-        out: list = [False] * len(pieces)
-        good = [i for i, ok in enumerate(fine) if ok]
-        if not good:
-            return out
-        ids_a, ids_b = (list(chain.from_iterable(side[i] for i in good)) for side in (a, b))
-        ends_a = np.cumsum([len(self.a_bytes[i]) for i in ids_a])
-        ends_b = np.cumsum([len(self.b_bytes[i]) for i in ids_b])
+        spelled = {i: bytes(map(byte_of.get, token)) for token, i in library.get_vocab(with_added_tokens=False).items() if all(map(byte_of.__contains__, token))}
+        encode = lambda texts: [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return Side(encode, [spelled.get(i, b"") for i in range(library.get_vocab_size())])
+
+    @staticmethod
+    def of_pieces(path: str) -> Side:
+        """A sentencepiece model; it puts a space before the text itself."""
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        spelled = [bytes([int(p[3:-1], 16)]) if library.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        return Side(lambda texts: library.encode(texts, num_threads=1), spelled)
+
+    def spells(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.token_bytes.__getitem__, ids)) == raw
+
+
+class Aligner:
+    """Both tokenizers and the alignment of a batch of texts."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.a, self.b = Side.of_json(a_path), Side.of_pieces(b_path)
+        said = [str(i).encode() for side in (self.a, self.b) for i in range(len(side.token_bytes))]
+        self.width = max(map(len, said))
+        self.digits = np.frombuffer(b"".join(x.rjust(self.width) + b"," for x in said), dtype=np.uint8).reshape(len(said), self.width + 1)
+
+    def encoded(self, texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For A and B the ids of all texts in a row, and where each text's start and end; none where a text doesn't count."""
+        flat, past = ([], []), ([0], [0])
+        for start, end in portions([len(t or "") for t in texts], ENCODED_TEXT):
+            some = [t or "" for t in texts[start:end]]
+            for text, *ids in zip(some, self.a.encode(some), self.b.encode(some), strict=True):
+                raw = f" {text}".encode()
+                fine = text and self.a.spells(ids[0], raw) and self.b.spells(ids[1], raw)
+                for side in (0, 1):
+                    if fine:
+                        flat[side].append(np.array(ids[side], dtype=np.int64))
+                    past[side].append(past[side][-1] + (len(ids[side]) if fine else 0))
+        a, b = ((np.concatenate(f) if f else np.zeros(0, np.int64), np.array(p)) for f, p in zip(flat, past, strict=True))
+        return a, b
+
+    def align(self, texts: list[str | None]):
+        """For the texts: counts (A tokens, B tokens, groups), groups as text, and the linked pairs and where each text's
+        start and end. Both sides' bytes are the same for every text, so all of them lie on one line."""
+        (ids_a, past_a), (ids_b, past_b) = self.encoded(texts)
+        ends_a, ends_b = np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b])
+        if not len(ids_a):
+            none = np.zeros(len(texts), np.int64)
+            return (none, none, none), pa.array([""] * len(texts), pa.string()), ids_a, np.zeros(len(texts) + 1, np.int64)
         group = coalesce(np.r_[0, ends_a[:-1], 0, ends_b[:-1]], np.r_[ends_a, ends_b])
-        in_a, in_b = group[: len(ids_a)], group[len(ids_a) :]
-        n_groups = int(group.max()) + 1
-        at_a, at_b = (np.searchsorted(side, np.arange(n_groups + 1)).tolist() for side in (in_a, in_b))
+        first_group = np.append(group[: len(ids_a)], group.max() + 1)[past_a]  # texts end at an end of both sides
         over_a, over_b = overlaps(ends_a, ends_b)
         together = ends_a[over_a] == ends_b[over_b]
         over_a, over_b = over_a[together], over_b[together]
-        pairs = np.array(ids_a, dtype=np.int64)[over_a] << 32 | np.array(ids_b, dtype=np.int64)[over_b]
-        said_a, said_b = list(map(str, ids_a)), list(map(str, ids_b))
-        text = [f"{','.join(said_a[at_a[g] : at_a[g + 1]])}|{','.join(said_b[at_b[g] : at_b[g + 1]])}" for g in range(n_groups)]
-        past_a = np.cumsum([0] + [len(a[i]) for i in good])
-        first_group = [*in_a[past_a[:-1]].tolist(), n_groups]  # pieces end at an end of both sides, so groups never share two
-        first_link = np.searchsorted(over_a, past_a).tolist()
-        for n, i in enumerate(good):
-            g, h = first_group[n], first_group[n + 1]
-            out[i] = (len(a[i]), len(b[i]), h - g, ";".join(text[g:h]), pairs[first_link[n] : first_link[n + 1]].copy())
-        return out
-
-
-def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", store_bytes: int = STORE_BYTES) -> DataFrame:
+        counts = np.diff(past_a), np.diff(past_b), np.diff(first_group)
+        return counts, self.spell(ids_a, ids_b, group, past_a + past_b), ids_a[over_a] << 32 | ids_b[over_b], np.searchsorted(over_a, past_a)
+
+    def spell(self, ids_a: np.ndarray, ids_b: np.ndarray, group: np.ndarray, past: np.ndarray) -> pa.Array:
+        """The groups of each text as `a1,a2|b1;a3|b2,b3`, made as one array of characters."""
+        half = group * 2
+        half[len(ids_a) :] += 1
+        order = np.argsort(half, kind="stable")  # by group, A before B, then in order
+        half = half[order]
+        rows = self.digits[np.r_[ids_a, ids_b + len(self.a.token_bytes)][order]]
+        last = rows[:-1, -1]
+        last[half[1:] != half[:-1]] = ord("|")
+        last[half[1:] // 2 != half[:-1] // 2] = ord(";")
+        shown = rows != ord(" ")
+        shown[past[1:][np.diff(past) > 0] - 1, -1] = False  # nothing after a text's last token
+        ends = np.r_[0, np.cumsum(shown.sum(axis=1))][past].astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(past) - 1, [None, pa.py_buffer(ends), pa.py_buffer(rows[shown])])
+
+
+def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
     """Add n_a, n_b, n_groups and groups (`a1,a2|b1;a3|b2,b3`: ids of each group in order) to every row, and for `weigh`
     batch, links (places of the linked pairs in the batch's table) and pairs (that table, on the batch's last row).
 
     A is a byte-level tokenizer's JSON file, encoding a space and the text; B is a sentencepiece model that adds the space
     itself. Strings of special tokens are plain text. Null and empty texts, and those for which either side's token bytes
-    aren't the space and the text, have no tokens: zeros and ''. Rows that repeat count each; nothing can tie. Very long
-    texts are cut like others, and one without a space is encoded whole. Other columns pass through, those with the new
-    names are replaced, and an empty table stays empty. No shuffle.
+    aren't the space and the text, have no tokens: zeros and ''. Rows that repeat count each; nothing can tie. A text is
+    encoded whole, however long. Other columns pass through, those with the new names are replaced, and an empty table
+    stays empty. No shuffle.
     """
     names = ["n_a", "n_b", "n_groups", "groups", "batch", "links", "pairs"]
     docs = spread(docs.drop(*names))
@@ -135,36 +151,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", store_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known = _once(("align", a_path, b_path, store_bytes), lambda: Aligner(a_path, b_path, store_bytes))
+        known = _once(("align", a_path, b_path), lambda: Aligner(a_path, b_path))
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(whole.column(column)), 0).to_pylist()
             for start, end in portions(sizes, BATCH_TEXT):
                 batch = whole.slice(start, end - start)
-                cut = [known.cut(" " + t) if t else [] for t in batch.column(column).to_pylist()]
-                found = known.look_up(set(chain.from_iterable(cut)))
-                place = {piece: i for i, piece in enumerate(found)}
-                values = list(found.values())
-                sides, bounds, flat, groups = [], [0], [], []
-                for pieces in cut:
-                    got = [found[p] for p in pieces]
-                    if not all(got):
-                        got = pieces = []
-                    sides.append((sum(x[0] for x in got), sum(x[1] for x in got), sum(x[2] for x in got)))
-                    groups.append(";".join([x[3] for x in got]))
-                    flat.extend(map(place.__getitem__, pieces))
-                    bounds.append(len(flat))
-                of_piece = np.concatenate([np.zeros(0, np.int64), *(v[4] for v in values if v)])
-                lengths = np.array([len(v[4]) if v else 0 for v in values], dtype=np.int64)
-                pairs, which = np.unique(of_piece, return_inverse=True)
-                past = np.r_[0, np.cumsum(lengths)]
-                order = np.array(flat, dtype=np.int64)
-                links = which[ragged(past[order], past[order + 1])].astype(np.int32)
-                starts = np.r_[0, np.cumsum(lengths[order])][bounds]
+                counts, groups, linked, at = known.align(batch.column(column).to_pylist())
+                pairs, links = np.unique(linked, return_inverse=True)
                 table = pa.StructArray.from_arrays([pa.array(pairs), pa.array(np.bincount(links, minlength=len(pairs)))], fields=list(pair_type))
                 once = pa.ListArray.from_arrays(pa.array([0] * batch.num_rows + [len(pairs)], pa.int32()), table)
-                counts = [pa.array([s[i] for s in sides], pa.int64()) for i in range(3)]
-                new = [*counts, pa.array(groups, pa.string()), pa.array([number] * batch.num_rows, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(links)), once]
+                places = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(links.astype(np.int32)))
+                new = [*map(pa.array, counts), groups, pa.array([number] * batch.num_rows, pa.int64()), places, once]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
                 number += 1
 

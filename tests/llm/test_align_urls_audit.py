@@ -54,13 +54,13 @@ def aligned_by_brute_force(texts):
     return [(n_a, n_b, len(links), len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links), groups) for n_a, n_b, groups, links in rows]
 
 
-@pytest.mark.parametrize("batch, store", [(4 << 20, 96 << 20), (2000, 20_000)])
-def test_alignment_matches_the_libraries(spark, monkeypatch, batch, store):
+@pytest.mark.parametrize("batch", [4 << 20, 2000])
+def test_alignment_matches_the_libraries(spark, monkeypatch, batch):
     monkeypatch.setattr(align, "BATCH_TEXT", batch)
     texts = odd_texts()
     rows = [(i, t, 7, "x", 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_a int, pair string, n_best int")
-    weighed = align.weigh(align.align(docs, A_PATH, B_PATH, store_bytes=store))
+    weighed = align.weigh(align.align(docs, A_PATH, B_PATH))
     got = {r["doc_id"]: r for r in weighed.collect()}
     want = aligned_by_brute_force(texts)
     assert len(got) == len(texts)
