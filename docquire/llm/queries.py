@@ -68,7 +68,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    aligned = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    aligned = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), pattern=public_tokenizers.PATTERN)
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
     return align.weigh(aligned.withColumn("groups_sha256", digest).drop("text", "groups"))
 

@@ -54,13 +54,13 @@ def aligned_by_brute_force(texts):
     return [(n_a, n_b, len(links), len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links), groups) for n_a, n_b, groups, links in rows]
 
 
-@pytest.mark.parametrize("batch", [4 << 20, 2000])
-def test_alignment_matches_the_libraries(spark, monkeypatch, batch):
+@pytest.mark.parametrize("batch, pattern", [(4 << 20, None), (2000, public_tokenizers.PATTERN)])
+def test_alignment_matches_the_libraries(spark, monkeypatch, batch, pattern):
     monkeypatch.setattr(align, "BATCH_TEXT", batch)
     texts = odd_texts()
     rows = [(i, t, 7, "x", 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_a int, pair string, n_best int")
-    weighed = align.weigh(align.align(docs, A_PATH, B_PATH))
+    weighed = align.weigh(align.align(docs, A_PATH, B_PATH, pattern=pattern))
     got = {r["doc_id"]: r for r in weighed.collect()}
     want = aligned_by_brute_force(texts)
     assert len(got) == len(texts)
@@ -71,6 +71,15 @@ def test_alignment_matches_the_libraries(spark, monkeypatch, batch):
     assert any(w[0] == 0 and t for w, t in zip(want, texts)) and any(w[4] < w[3] for w in want)
 
 
+def test_quick_ids_are_the_librarys():
+    """Letters, digits and marks of every plane, at starts and inside, beside random strings."""
+    slow, quick = align.Side.of_json(A_PATH, None), align.Side.of_json(A_PATH, public_tokenizers.PATTERN)
+    rng = random.Random(77)
+    points = [chr(i) for i in range(0, 0x110000, 7) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{x}1{x} {x}  {x}\n{x}'s{x}" for x in points] + ["".join(rng.choice("abcdeinorst ETA'.,0123é漢\n") for _ in range(80)) for _ in range(5000)]
+    assert slow.encode(texts) == quick.encode(texts) and quick.token_bytes == slow.token_bytes
+
+
 def test_coalescing_breaks_where_both_sides_end():
     rng = np.random.default_rng(3)
     for _ in range(200):
