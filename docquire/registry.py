@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquire.functions.text import BLANKS, ENTITIES, NO_TEXT, TAG, html_text, normalise
-from docquire.operators import fields
-from docquire.plans import summaries
+from docquire.operators import constraints, fields, forms, resolve
+from docquire.plans import incremental, summaries
 from docquire.sources import tables
 
 FLAGSHIP = "corpus_summary"
@@ -88,7 +88,33 @@ def preferred_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.preferred(_fields(spark, sf_dir, ("doc_id", "source")), "source")
 
 
-QUERIES = {f.__name__: f for f in (corpus_summary, document_profile, host_counts, label_coverage, unified_documents, assembled_conversations, page_texts, normalised_texts, extracted_fields, field_records, record_violations, accepted_records, quarantined_records, linked_documents, consolidated_values, preferred_values)}
+#: Fields that name one holder, and how each field of a merged record is chosen.
+LINK_ON = ["email", "ip", "card", "secret"]
+MERGE = {"email": "common", "ip": "last", "card": "first", "licence": "common", "secret": "longest"}
+
+
+def resolved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(_fields(spark, sf_dir), LINK_ON, MERGE)
+
+
+def dependency_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = {"text_has_one_lang": (["text"], "lang"), "text_has_one_source": (["text"], "source")}
+    return constraints.dependency_violations(tables.read(spark, sf_dir, "documents"), rules, "doc_id")
+
+
+def merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By language, from partials of each source: texts are read once, for the partials."""
+    parts = incremental.partials(tables.read(spark, sf_dir, "documents"), ["lang", "source"])
+    return incremental.report(incremental.merged(parts, ["lang"]), ["lang"], {"median_length": 0.5})
+
+
+def form_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembled conversations read back as forms: a field for each turn, a group for each turn of who spoke first."""
+    talks = tables.assemble(tables.read(spark, sf_dir, "conversations"))
+    return forms.parse_forms(talks, "conv_id").select("conv_id", "group_no", "ordinal", "name", "value")
+
+
+QUERIES = {f.__name__: f for f in (corpus_summary, document_profile, host_counts, label_coverage, unified_documents, assembled_conversations, page_texts, normalised_texts, extracted_fields, field_records, record_violations, accepted_records, quarantined_records, linked_documents, consolidated_values, preferred_values, resolved_records, dependency_violations, merged_summary, form_records)}
 
 
 def _squeeze(text: str) -> str:
@@ -112,6 +138,37 @@ _RECORDS = f"SELECT doc_id, {', '.join(f'''min(CASE WHEN field = '{n}' THEN valu
 _BROKEN = f"SELECT doc_id, 'ip_range' AS rule_id, 'ip' AS field FROM ({_RECORDS}) WHERE len(list_filter(string_split(ip, '.'), lambda x: x::INT > 255)) > 0 UNION ALL SELECT doc_id, 'no_secret', 'secret' FROM ({_RECORDS}) WHERE secret IS NOT NULL"
 _CLEAN = _squeeze("coalesce(text, '')")
 
+_CHOICE = {
+    "common": "n_docs DESC, first_doc, first_ordinal, value",
+    "first": "first_doc, first_ordinal, value",
+    "last": "last_doc DESC, last_ordinal DESC, value",
+    "longest": "length(value) DESC, value",
+}
+
+
+def resolved_sql(found: str = _FIELDS) -> str:
+    """Entities by a recursive closure, then the value of each field that comes first in its order."""
+    names = ", ".join(f"'{n}'" for n in LINK_ON)
+    chosen = ", ".join(f"first(value ORDER BY {_CHOICE[rule]}) FILTER (field = '{name}') AS {name}" for name, rule in MERGE.items())
+    several = " + ".join(f"(count(*) FILTER (field = '{name}') > 1)::BIGINT" for name in MERGE)
+    return f"""WITH RECURSIVE x AS ({found}),
+o AS (SELECT DISTINCT field, value, doc_id FROM x WHERE field IN ({names})),
+f AS (SELECT field, value, min(doc_id) AS first_doc FROM o GROUP BY field, value),
+e AS (SELECT doc_id AS a, first_doc AS b FROM o JOIN f USING (field, value) UNION SELECT first_doc, doc_id FROM o JOIN f USING (field, value)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS entity FROM r GROUP BY a),
+m AS (SELECT x.*, coalesce(c.entity, x.doc_id) AS entity FROM x LEFT JOIN c ON x.doc_id = c.doc_id),
+v AS (SELECT entity, field, value, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc,
+    arg_min(ordinal, doc_id * 1000000 + ordinal) AS first_ordinal, arg_max(ordinal, doc_id * 1000000 + ordinal) AS last_ordinal, count(*) AS n FROM m GROUP BY entity, field, value),
+s AS (SELECT entity, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY entity)
+SELECT entity, s.n_docs, n_values, n_conflicts, {", ".join(MERGE)} FROM s JOIN
+(SELECT entity, sum(n)::BIGINT AS n_values, {several} AS n_conflicts, {chosen} FROM v GROUP BY entity) USING (entity)"""
+
+
+def _dependency(rule: str, column: str) -> str:
+    return f"SELECT '{rule}' AS rule_id, sha256(text) AS determinant, count(DISTINCT {column}) AS n_values, count(*) AS n_rows, min(doc_id) AS first_key, max(doc_id) AS last_key, min({column}) AS least_value, max({column}) AS most_value FROM documents WHERE text IS NOT NULL AND {column} IS NOT NULL GROUP BY text HAVING count(DISTINCT {column}) > 1"
+
+
 ORACLE_SQL: dict[str, str] = {
     "corpus_summary": "SELECT lang, source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY ROLLUP (lang, source)",
     "document_profile": f"SELECT doc_id, length(text) AS length, CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(string_split({_CLEAN}, ' ')) END AS n_words, CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(list_distinct(string_split({_CLEAN}, ' '))) END AS n_distinct FROM documents",
@@ -129,4 +186,10 @@ ORACLE_SQL: dict[str, str] = {
     "linked_documents": f"WITH o AS (SELECT DISTINCT field, value, doc_id FROM ({_FIELDS})), f AS (SELECT field, value, min(doc_id) AS first_doc FROM o GROUP BY ALL) SELECT field, value, doc_id, first_doc FROM o JOIN f USING (field, value) WHERE doc_id <> first_doc",
     "consolidated_values": f"SELECT field, value, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS n_docs, count(*) AS n_values FROM ({_FIELDS}) GROUP BY ALL",
     "preferred_values": f"SELECT source, field, value, n_docs, first_doc FROM (SELECT *, row_number() OVER (PARTITION BY source, field ORDER BY n_docs DESC, first_doc, value) AS r FROM (SELECT source, field, value, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM ({_SOURCED}) GROUP BY ALL)) WHERE r = 1",
+    "resolved_records": resolved_sql(),
+    "dependency_violations": f"{_dependency('text_has_one_lang', 'lang')} UNION ALL {_dependency('text_has_one_source', 'source')}",
+    # the sketches are exact up to 4,096 texts and about as many lengths a language
+    "merged_summary": "SELECT lang, count(*) AS n_docs, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, count(DISTINCT text) AS n_texts, quantile_disc(length(text), 0.5)::BIGINT AS median_length FROM documents GROUP BY lang",
+    "form_records": r"""SELECT conv_id, group_no::INT AS group_no, (row_number() OVER (PARTITION BY conv_id, group_no ORDER BY turn) - 1)::INT AS ordinal, role AS name, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS value
+FROM (SELECT *, count(*) FILTER (role = opener) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS group_no FROM (SELECT *, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opener FROM conversations))""",
 }
