@@ -25,6 +25,12 @@ from docquire.llm.common import ragged, written
 BLOCK, LEAST_BLOCK = 65_536, 4_096
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one: no square of it can
+    overflow or vanish then, and no cosine changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
 @dataclass
 class Codes:
     mean: np.ndarray
@@ -97,13 +103,14 @@ class Block:
     def __init__(self, ids: np.ndarray, v: np.ndarray, codes: Codes):
         first = np.lexsort((*v.T[::-1], ids))  # of rows with the same id the smallest vector counts
         first = first[np.r_[True, ids[first][1:] != ids[first][:-1]]] if len(ids) else first
-        self.ids, self.v = ids[first], v[first]
+        self.ids, self.v = ids[first], scaled(v[first])
         self.lengths = np.sqrt((self.v**2).sum(axis=1))
         self.codes = codes
         self.index = MultiIndex(codes.encode(self.v / self.lengths[:, None]), v.shape[1])
 
     def nearest(self, name: int, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         """(query, id, score) of the k nearest in the radius, which is widened while it holds fewer than k."""
+        q = scaled(q)
         length = np.sqrt((q**2).sum())
         code, radius = self.codes.encode((q / length)[None])[0], self.codes.radius
         while True:
@@ -122,7 +129,7 @@ class Block:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", column: str = "embedding", sample: int = 20_000, aim: float = 0.97, block: int = BLOCK, least_block: int = LEAST_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows by cosine, itself left out, ties to the smaller id.
 
-    The rotation is fitted on about `sample` vectors chosen by a hash of the key; every vector is indexed. Null and zero
+    The rotation is fitted on about `sample` different vectors chosen by a hash (2 x `sample` at most); every one is indexed. Null and zero
     vectors, those with null or non-finite components and those of another length than most (ties: the longer) take no
     part, nor do rows with a null key. Repeated rows count once; of different vectors under one key the smallest counts,
     as a candidate and as a query. A query with fewer than k candidates in its radius widens it; with fewer than k rows
@@ -142,9 +149,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     dims, n = usual["d"], usual["count"]
     every = every.where(F.size("v") == dims)
     asked = clean(queries).where(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"))
-    part = every.where(F.pmod(F.xxhash64(F.lit("vectors"), "id"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
-    some = part.orderBy("id", "v").select("v").toArrow().column(0).combine_chunks()
-    unit = some.flatten().to_numpy().reshape(-1, dims) if len(some) else np.eye(dims)
+    part = every.where(F.pmod(F.xxhash64(F.lit("vectors"), "id", "v"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
+    some = part.distinct().limit(2 * sample).orderBy("id", "v").select("v").toArrow().column(0).combine_chunks()
+    unit = scaled(some.flatten().to_numpy().reshape(-1, dims)) if len(some) else np.eye(dims)
     codes = spark.sparkContext.broadcast(Codes.learn(unit / np.linalg.norm(unit, axis=1, keepdims=True), k, aim))
 
     blocks = max(-(-n // block), min(spark.sparkContext.defaultParallelism, -(-n // least_block)))

@@ -44,11 +44,14 @@ class LanguageFilters:
     false_positive: np.ndarray
 
     @staticmethod
-    def build(by_language: dict[str, np.ndarray], slots_per_gram: int = 16) -> LanguageFilters:
+    def build(by_language: dict[str, np.ndarray], slots_per_gram: int = 16, most_words: int = 1 << 25) -> LanguageFilters:
+        """Filters for all languages. Beyond `most_words` words of 64 languages (256 MB) there are fewer slots for a gram
+        and more false positives to correct for, not fewer languages or grams."""
         languages = sorted(by_language)
         largest = max((len(g) for g in by_language.values()), default=0)
-        size = 1 << max(10, int(largest * slots_per_gram - 1).bit_length())
-        slots = np.zeros((size, (len(languages) + 63) // 64), dtype=np.uint64)
+        words = (len(languages) + 63) // 64
+        size = 1 << max(10, min(int(largest * slots_per_gram - 1).bit_length(), (most_words // max(1, words)).bit_length() - 1))
+        slots = np.zeros((size, words), dtype=np.uint64)
         filled = []
         for i, lang in enumerate(languages):
             for at in LanguageFilters.places(by_language[lang], size):
@@ -75,17 +78,16 @@ class LanguageFilters:
         return best, float(true[best] / true.sum()) if true.sum() else 0.0
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 3000, least_share: float = 2e-6, contrast: float = 0.15, most_languages: int = 1024) -> LanguageFilters:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 3000, least_share: float = 2e-6, contrast: float = 0.15) -> LanguageFilters:
     """Filters from labelled rows (null texts and languages take no part).
 
     About `per_language` rows of each language are used, chosen by a hash of the key: all of a rarer language. A gram
     enters a language's filter if its share of that language's grams is at least `least_share` and at least
-    `contrast` times its share in the language where it is most common. Of more values of lang than `most_languages`, the
-    most frequent (ties: first by name) are learned. Repeated rows count each time; an empty table learns nothing.
+    `contrast` times its share in the language where it is most common. Every language is learned, however many there are.
+    Repeated rows count each time; very long texts go through in slices; an empty table learns nothing.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    most = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages)
-    counts = {r[lang]: r["count"] for r in most.collect()}
+    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}
     if not counts:
         return LanguageFilters.build({})
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])

@@ -186,6 +186,9 @@ def compile_template(label: str, markup: str) -> Automaton:
             at = after
         elif token.startswith("<<"):
             states = []
+            if a.wild[at] is not None:  # so does one that begins with a region of any words
+                a.skips[at].append(fresh := a.state())
+                at = fresh
             for _ in range(int(token[2:-2])):
                 after = a.state()
                 a.wild[at] = after

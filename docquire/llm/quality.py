@@ -97,15 +97,19 @@ class FactorisationMachine:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 12_000) -> FactorisationMachine:
-    """Fit on about `sample` labelled rows chosen by a hash of the key (all, where there are fewer).
+    """Fit on about `sample` labelled rows chosen by a hash of the key (all, where there are fewer), 2 x `sample` at most.
 
     Null keys and labels take no part; several labels of a key count as their largest; a labelled null text is empty; rows
-    that repeat a labelled key all count. Without labels, or with one class only, the score is a constant.
+    that repeat a labelled key all count, unless they are more than the bound: then a hash of key and text chooses among
+    them. Whole texts count, however long. Without labels, or with one class only, the score is a constant.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     n = known.count()
     part = known.where(F.pmod(F.xxhash64(F.lit("quality"), "key"), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).join(part.hint("broadcast"), "key")  # the sample's size is the bound
+    found = docs.select(F.col(key).alias("key")).join(part.hint("broadcast"), "key").count()
+    if found > 2 * sample:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("rows"), "key", "text"), F.lit(1 << 20)) < sample / found * (1 << 20)).limit(2 * sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
