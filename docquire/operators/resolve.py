@@ -73,6 +73,9 @@ def merge_records(members: DataFrame, precedence: dict[str, str], key: str = "do
 
 
 def resolve(fields: DataFrame, link_on: list[str], precedence: dict[str, str], key: str = "doc_id") -> DataFrame:
-    """One merged record for each entity. Null keys and values link nothing; a document of its own is an entity."""
-    known = fields.where(F.col(key).isNotNull() & F.col("value").isNotNull())
+    """One merged record for each entity. Null keys and values link nothing; a document of its own is an entity.
+
+    The fields are written out first: links, entities and records all read them, and texts are searched once.
+    """
+    known = cut(fields.where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "field", "ordinal", "value"), "fields")
     return merge_records(cut(entities(known, link_on, key), "members"), precedence, key)
