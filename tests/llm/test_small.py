@@ -374,6 +374,42 @@ def test_altered_passage_of_later_documents(spark):
     assert got == {(4, 3)}
 
 
+@pytest.mark.parametrize("decoys, between", [(0, 0), (11, 0), (1100, 0), (11, 1)])
+def test_altered_copies_after_documents_that_share_parts(spark, decoys, between):
+    """Documents that hold a part of the passage come first, and between its copies: the source is another copy."""
+    rng = random.Random(21)
+    whole = sentence(rng, 100, 9000).split()
+    decoy = lambda i: f"{sentence(rng, 9, 9000)} {' '.join(whole[i % 5 * 20 : i % 5 * 20 + 20])} {sentence(rng, 9, 9000)}"
+    texts, copies = [decoy(i) for i in range(decoys)], []
+    for i in range(20):
+        copies.append(len(texts))
+        texts.append(f"{sentence(rng, 30, 9000)} {' '.join(f'q{rng.randrange(9000)}' if rng.random() < 0.1 else w for w in whole)} {sentence(rng, 30, 9000)}")
+        texts += [decoy(i)] * between
+    got: dict[int, set] = {}
+    for r in chaining.find_passages(frame(spark, texts)).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert sum(len(got.get(d, set()) & set(range(30, 130))) >= 50 for d in copies) >= 18
+    assert set(got) <= set(copies)
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_each_place_meets_the_one_before_across_tasks(spark, tasks):
+    rng = random.Random(22)
+    rows = [(h, d, rng.randrange(99)) for h, n in ((-5, 400), (3, 1), (8, 2), (9, 90)) for d in sorted(rng.sample(range(2, 1000), n))]
+    joined = spark.createDataFrame([(*r, 1, 0) for r in rng.sample(rows, len(rows))], "h long, id long, here int, other long, there int")
+    wanted = sorted([(d, x, 1, 0) for _, d, x in rows] + [(b[1], b[2], a[1], a[2]) for a, b in zip(rows, rows[1:]) if a[0] == b[0]])
+    settings = {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = chaining._with_previous(joined)
+        assert sorted(map(tuple, found.collect())) == wanted
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_nearest_has_recall_and_skips_bad_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=20)]) for i in range(600)]
