@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquire.functions.text import BLANKS, ENTITIES, NO_TEXT, TAG, html_text, normalise
+from docquire.functions.urls import AUTHORITY, REFERENCE, SITE
+from docquire.functions.urls import url_parts as parts_of_url
 from docquire.operators import constraints, fields, forms, resolve
 from docquire.plans import incremental, summaries
 from docquire.sources import tables
@@ -18,7 +20,7 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.profile(tables.read(spark, sf_dir, "documents"))
+    return summaries.profile(tables.read_spread(spark, sf_dir, "documents"))
 
 
 def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,15 @@ def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.label_coverage(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels"))
 
 
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.labelled(tables.read(spark, sf_dir, "documents"), tables.read(spark, sf_dir, "labels"))
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables.read(spark, sf_dir, "pages")
+    return pages.select("page_id", *(part.alias(name) for name, part in parts_of_url(F.col("url")).items()))
+
+
 def unified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.unify(spark, sf_dir)
 
@@ -114,7 +125,7 @@ def form_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.parse_forms(talks, "conv_id").select("conv_id", "group_no", "ordinal", "name", "value")
 
 
-QUERIES = {f.__name__: f for f in (corpus_summary, document_profile, host_counts, label_coverage, unified_documents, assembled_conversations, page_texts, normalised_texts, extracted_fields, field_records, record_violations, accepted_records, quarantined_records, linked_documents, consolidated_values, preferred_values, resolved_records, dependency_violations, merged_summary, form_records)}
+QUERIES = {f.__name__: f for f in (corpus_summary, document_profile, host_counts, label_coverage, unified_documents, assembled_conversations, page_texts, normalised_texts, extracted_fields, field_records, record_violations, accepted_records, quarantined_records, linked_documents, consolidated_values, preferred_values, resolved_records, dependency_violations, merged_summary, form_records, labelled_documents, url_parts)}
 
 
 def _squeeze(text: str) -> str:
@@ -130,6 +141,7 @@ def _page(html: str) -> str:
 
 
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+_PARTS = [f"regexp_extract(url, '{REFERENCE}', {i})" for i in range(1, 6)]
 _TALK = "SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_turns FROM conversations GROUP BY conv_id"
 _HITS = " UNION ALL ".join(f"SELECT doc_id, source, '{f}' AS field, regexp_extract_all(text, '{rule.sql_pattern()}') AS hits FROM documents" for f, rule in fields.RULES.items())
 _SOURCED = f"SELECT doc_id, source, field, (unnest(range(len(hits))))::INT AS ordinal, unnest(hits) AS value FROM ({_HITS}) WHERE len(hits) > 0"
@@ -174,6 +186,11 @@ ORACLE_SQL: dict[str, str] = {
     "document_profile": f"SELECT doc_id, length(text) AS length, CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(string_split({_CLEAN}, ' ')) END AS n_words, CASE WHEN {_CLEAN} = '' THEN 0 ELSE len(list_distinct(string_split({_CLEAN}, ' '))) END AS n_distinct FROM documents",
     "host_counts": f"SELECT {_HOST} AS host, count(*) AS n_pages FROM pages GROUP BY 1",
     "label_coverage": "SELECT source, count(*) AS n_docs, count(quality) AS n_labelled, coalesce(sum(quality), 0)::BIGINT AS n_good, coalesce(sum(toxic), 0)::BIGINT AS n_toxic FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source",
+    "labelled_documents": """SELECT doc_id, lang, source, coalesce(n, 0)::BIGINT AS n_labels, CASE WHEN q0 = q1 THEN q1 END AS quality, CASE WHEN t0 = t1 THEN t1 END AS toxic, concat_ws(',', CASE WHEN q0 <> q1 THEN 'quality' END, CASE WHEN t0 <> t1 THEN 'toxic' END) AS disputed
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, min(quality) AS q0, max(quality) AS q1, min(toxic) AS t0, max(toxic) AS t1 FROM labels GROUP BY doc_id) USING (doc_id)""",
+    "url_parts": f"""SELECT page_id, nullif(lower(scheme), '') AS scheme, nullif(host, '') AS host, nullif(regexp_extract(authority, '{AUTHORITY}', 2), '')::INT AS port, nullif(regexp_extract(host, '{SITE}', 1), '') AS site,
+nullif(path, '') AS path, nullif(query, '') AS query, nullif(fragment, '') AS fragment, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth, len(list_filter(string_split(query, '&'), lambda x: x <> '')) AS n_parameters
+FROM (SELECT *, lower(regexp_extract(authority, '{AUTHORITY}', 1)) AS host FROM (SELECT page_id, {", ".join(f"{p} AS {n}" for p, n in zip(_PARTS, ("scheme", "authority", "path", "query", "fragment"), strict=True))} FROM pages))""",
     "unified_documents": f"SELECT 'documents' AS src_table, doc_id::VARCHAR AS doc_key, text, lang, source FROM documents UNION ALL SELECT 'pages', page_id::VARCHAR, {_page('html')}, NULL, {_HOST} FROM pages UNION ALL SELECT 'conversations', conv_id::VARCHAR, text, NULL, NULL FROM ({_TALK})",
     "assembled_conversations": _TALK,
     "page_texts": f"SELECT page_id, {_page('html')} AS text FROM pages",
