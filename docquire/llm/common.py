@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -62,9 +63,7 @@ def row_hash(df: DataFrame):
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove every scratch table of this application; results that were not yet read or written are lost."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/docquire-{context.applicationId}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{scratch_dir(spark)}/docquire-{spark.sparkContext.applicationId}")
 
 
 def slices(column: pa.Array, rows: int = 512) -> Iterator[pa.Array]:
@@ -130,6 +129,7 @@ def written(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/docquire-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _note(path)
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, BATCH_BYTES)
     try:
@@ -143,12 +143,44 @@ def written(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     return table
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove scratch tables that `written` made, once everything that reads them has been written itself."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(table.sparkSession, table.scratch_path)
+
+
+#: Where the tables of a written_alone are noted; outside it a table stays, as a result that was not yet read may need it.
+_made: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch tables", default=None)
+
+
+def _note(path: str) -> None:
+    if (made := _made.get()) is not None:
+        made.append(path)
+
+
+def written_alone(spark: SparkSession, make, label: str) -> DataFrame:
+    """The table that make() returns, written out; every other scratch table that was made for it is removed.
+
+    They are removed also when it fails. Tables of other queries of the session, in this thread or others, stay.
+    """
+    inner: list[str] = []
+    token = _made.set(inner)
+    kept = None
+    try:
+        kept = written(make(), label)
+    finally:
+        _made.reset(token)
+        for path in inner:
+            if kept is None or path != kept.scratch_path:
+                _remove(spark, path)
+    _note(kept.scratch_path)
+    return kept
 
 
 def ascii_words(text: bytes | None) -> list[bytes]:
