@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from docquire import registry
 from docquire.operators import forms, publish
 from docquire.plans import incremental
 from pyspark.sql import functions as F
@@ -44,6 +45,28 @@ def test_estimates_stay_within_the_stated_error(spark):
     assert abs(n / 60_000 - 1) < 0.06
 
 
+def test_summary_is_exact_beyond_the_sketches(spark, tmp_path):
+    """More different texts and lengths than a sketch holds, copies across sources, null and empty texts, no text at all."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["en", None]), rng.choice(["a", "b"]), f"{i % 13_000:x}".rjust(rng.choice([5, i % 7_000 + 5]), "é")) for i in range(26_000)]
+    rows += [("en", "a", None), (None, "b", ""), ("en", None, ""), ("xx", "a", None), ("xx", "b", None), ("y", "a", "one"), ("y", "b", "four"), ("y", "b", "one")]
+    spark.createDataFrame(rows, "lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["lang"]: tuple(r[c] for c in ("n_docs", "n_chars", "n_texts", "median_length")) for r in registry.merged_summary(spark, str(tmp_path)).collect()}
+    for lang in ("en", None, "xx", "y"):
+        texts = [t for x, _, t in rows if x == lang]
+        known = sorted(len(t) for t in texts if t is not None)
+        assert got.pop(lang) == (len(texts), sum(known), len({*texts} - {None}), known[(len(known) + 1) // 2 - 1] if known else None)
+    assert not got
+
+
+def test_exact_quantiles(spark):
+    docs = spark.range(100).select(F.expr("repeat('x', cast(id + 1 as int))").alias("text"), (F.col("id") % 4).alias("part"))
+    parts = incremental.exact_partials(docs, ["part"])
+    ranks = {f"q{i}": i / 100 for i in range(0, 101)}
+    row = incremental.exact_report(incremental.exact_merged(parts, []), [], ranks).first()
+    assert [row[f"q{i}"] for i in range(101)] == [1, *range(1, 101)] and (row["n_docs"], row["n_chars"], row["n_texts"]) == (100, 5050, 100)
+
+
 def test_replayed_batches_change_nothing(spark, tmp_path):
     rows = documents(300, 2)
     schema = DOCS
