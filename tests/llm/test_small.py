@@ -402,6 +402,31 @@ def test_altered_copies_after_documents_that_share_parts(spark, decoys, between,
     assert set(got) <= set(copies)
 
 
+def test_source_that_is_neither_first_nor_previous_for_any_seed(spark):
+    """Documents with every part of the passage come before the source and after it; several sources, an altered copy of each."""
+    rng = random.Random(23)
+    texts, pairs = [], []
+    for _ in range(5):
+        whole = sentence(rng, 100, 9000).split()
+        altered = lambda of: [w if i % 12 != of else f"q{rng.randrange(9000)}" for i, w in enumerate(whole)]  # noqa: E731, B023
+        parts = [f"{sentence(rng, 9, 9000)} {' '.join(whole[i : i + 20])} {sentence(rng, 9, 9000)}" for i in range(0, 81, 16)]
+        source, copy = (f"{sentence(rng, 30, 9000)} {' '.join(altered(of))} {sentence(rng, 30, 9000)}" for of in (3, 4))
+        texts += [*parts, source, *parts, copy]
+        pairs.append((len(texts) - 1, len(texts) - 8))
+    found = chaining.find_passages(frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == set(pairs)
+    assert all(any(r["doc_id"] == d and r["start"] <= 40 and r["end"] >= 120 for r in found) for d, _ in pairs)
+
+
+def test_seed_pairs_are_all_pairs():
+    rng = np.random.default_rng(24)
+    at = np.sort(rng.choice(400, 120, replace=False))
+    group = np.repeat([0, 1, 2], 40)
+    at = at - at[group * 40]
+    got = sorted((int(i), int(j)) for a, b in chaining.seed_pairs(group, at, 20, 120) for i, j in zip(a, b))
+    assert got == [(i, j) for i in range(120) for j in range(120) if group[i] == group[j] and 20 <= at[j] - at[i] <= 120]
+
+
 @pytest.mark.parametrize("tasks", [1, 7])
 def test_each_place_meets_the_one_before_across_tasks(spark, tasks):
     rng = random.Random(22)
