@@ -445,6 +445,35 @@ def test_each_place_meets_the_one_before_across_tasks(spark, tasks):
             spark.conf.set(k, v)
 
 
+def test_documents_near_the_first_meet_all_before_them(spark):
+    rng = random.Random(31)
+    rows = [(h, d, rng.randrange(99)) for h, n in ((-9, 1), (-5, 40), (3, 1), (8, 5), (9, 6)) for d in sorted(rng.sample(range(2, 1000), n))]
+    joined = spark.createDataFrame([(*r, 1, 0) for r in rng.sample(rows, len(rows))], "h long, id long, here int, other long, there int")
+    wanted, late = [(d, x, 1, 0) for _, d, x in rows], 1  # a task's first hash may have begun in the task before
+    for h in (-5, 3, 8, 9):
+        same = [r for r in rows if r[0] == h]
+        late += max(0, len(same) - 5)
+        wanted += [(b[1], b[2], a[1], a[2]) for i, b in enumerate(same) for a in (same[:i] if i < 5 else same[i - 1 : i])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        found = chaining._placed(joined, near=4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(tuple, chaining._with_previous(found).collect())) == sorted(wanted)
+    assert found.where("edge is null and h is not null").count() == late
+
+
+def test_only_pairs_with_a_late_or_closely_held_late_seed_are_joined():
+    at, late = np.array([0, 15, 30, 70, 100]), np.array([False, True, False, False, False])
+    opened = np.array([True, True, True, True, False])
+    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5) if at[j] - at[i] >= 20]
+    i, j = map(np.array, zip(*pairs))
+    kept = [p for p, k in zip(pairs, chaining.worth(at, opened, late, i, j, 20)) if k]
+    assert kept == [(0, 2), (1, 3), (1, 4)]
+    assert not chaining.worth(at, opened & False, late, i, j, 20).any()
+
+
 def test_nearest_has_recall_and_skips_bad_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=20)]) for i in range(600)]
