@@ -418,6 +418,39 @@ def test_source_that_is_neither_first_nor_previous_for_any_seed(spark):
     assert all(any(r["doc_id"] == d and r["start"] <= 40 and r["end"] >= 120 for r in found) for d, _ in pairs)
 
 
+def test_runs_of_one_word_make_few_pairs(spark, monkeypatch):
+    """Runs of one word, in which every place is a seed, in many documents: few pair rows, and altered passages are found."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for i in range(60):
+        copy = [word() if j % 15 == 7 and i > 1 else w for j, w in enumerate(passage)] if i in (1, 50, 59) else []
+        texts.append(" ".join([*(word() for _ in range(20)), *["the"] * 40, *(word() for _ in range(20)), *copy]))
+    rows = {}
+
+    def counted(df, label, free=False):
+        table = common.written(df, label, free)
+        rows[label] = rows.get(label, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(chaining, "written", counted)
+    found = chaining.find_passages(frame(spark, texts)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} >= {(50, 1), (59, 1)}
+    # 50 of the documents have more than nine before them; of a run's 36 seeds in each, 136 pairs lie far enough apart
+    assert 0 < rows["keys"] <= 50 * 12
+
+
+def test_spaced_seeds():
+    run = np.array([7] * 36, dtype=np.uint64)
+    at, owner = np.arange(36, dtype=np.int32), np.zeros(36, dtype=np.int64)
+    assert np.flatnonzero(chaining.spaced(run, owner, at, 10)).tolist() == [0, 10, 20, 30, 35]
+    assert chaining.spaced(run, owner, at * 10, 10).all() and chaining.spaced(run, np.arange(36), at, 10).all()
+    assert not len(chaining.spaced(run[:0], owner[:0], at[:0], 10))
+    both = np.array([7, 8] * 18, dtype=np.uint64)  # two words in turn: a series each
+    assert np.flatnonzero(chaining.spaced(both, owner, at, 10)).tolist() == [0, 1, 20, 21, 34, 35]
+
+
 def test_seed_pairs_are_all_pairs():
     rng = np.random.default_rng(24)
     at = np.sort(rng.choice(400, 120, replace=False))
