@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from docquire.llm.common import bit_filter, components, discard, gram_hashes, group_bounds, groups, in_filter, mix, portions, ragged, signed, slices, spread, word_hashes, written
 
 #: Most shingles that the global order ranks by frequency; the order of the others is by hash. Any order gives the same links.
-FREQUENT = 1_000_000
+FREQUENT = 4_000_000
+#: Least frequency of a ranked shingle.
+RANKED = 4
 #: Sets of one shingle, by its frequency, that go to one task.
 PART = 16_384
 #: Sets of one shingle that list their pairs; more make a star.
@@ -34,6 +36,8 @@ FEW = 12
 #: Shingles (and 64 more for each set) that a task's slice of a cluster holds; one set at least.
 SLICE = 1_000_000
 _POOL = 1_000_000
+_COUNT_BITS = 24
+_BUCKET_BITS = 28
 _FILTER_BITS = 1 << 26
 _NONE = np.empty(0, dtype=np.uint64)
 
@@ -63,18 +67,21 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 class Order:
-    """The global order: shingles outside the frequent ones by hash, then the frequent ones from rare to common."""
+    """The global order: shingles outside the frequent ones by hash, then the frequent ones from rare to common.
+
+    Frequent shingles are given by the upper bits of their hashes, and kept with their counts in one number each.
+    """
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray):
-        at = np.argsort(frequent)
-        self.frequent, self.counts = frequent[at], counts[at]
+        self.known = np.sort(frequent << np.uint64(_COUNT_BITS) | np.minimum(counts, (1 << _COUNT_BITS) - 1).astype(np.uint64))
 
     def prefix(self, shingles: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The first shingles of a set in the order, and how frequent each is (0 for those outside)."""
         often = np.zeros(len(shingles), dtype=np.int64)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, shingles), len(self.frequent) - 1)
-            often = np.where(self.frequent[at] == shingles, self.counts[at], 0)
+        if len(self.known):
+            low = np.uint64((1 << _COUNT_BITS) - 1)
+            at = self.known[np.minimum(np.searchsorted(self.known, shingles & ~low), len(self.known) - 1)]
+            often = np.where((at ^ shingles) <= low, at & low, np.uint64(0)).astype(np.int64)
         first = np.argsort(often, kind="stable")[:length]
         return shingles[first], often[first]
 
@@ -120,41 +127,77 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "d
 
 
 def _survey(source: DataFrame, k: int) -> tuple[DataFrame, object]:
-    """key, n_shingles and set_id of every row, and the global order, sent to all tasks."""
+    """key, n_shingles and set_id of every row, and the global order, sent to all tasks.
+
+    Every shingle is counted over the whole table. A frequent one that isn't known as such would put sets that have nothing
+    else in common in one cluster. Tasks send the upper bits of their shingles' hashes, a row for each range of them.
+    """
     spark = source.sparkSession
+    names = ["range", "key", "n", "id", "values", "counts"]
+    low = np.uint64((1 << _BUCKET_BITS) - 1)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, size = [], 0
 
-        def often() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(pool), return_counts=True)
-            more = n >= 2
-            some = int(more.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(some, dtype=bool)), pa.nulls(some, pa.int64()), pa.array(n[more].astype(np.int64)), pa.array(signed(values[more]))], names=["frequent", "key", "n", "id"])
+        def blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+        def pooled() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(pool) >> np.uint64(_COUNT_BITS), return_counts=True)
+            part = (values >> np.uint64(_BUCKET_BITS)).astype(np.int32)
+            bounds = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+            none = pa.nulls(len(bounds) - 1, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]]), none, none, none, blobs((values & low).astype(np.uint32), bounds), blobs(np.minimum(n, 0xFFFF).astype(np.uint16), bounds)], names=names)
 
         for batch in batches:
             ns, ids = [], []
             for found in _sets(batch.column(1), k):
                 ns.append(len(found))
                 ids.append(set_id(found) if len(found) else 0)
-                pool.append(found)
-                size += len(found)
+                if len(found):
+                    pool.append(found)
+                    size += len(found)
                 if size > _POOL:
-                    yield often()
+                    yield pooled()
                     pool, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, dtype=bool)), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64())], names=["frequent", "key", "n", "id"])
+            none = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(batch.num_rows, dtype=np.int32) % 4096), batch.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), none, none], names=names)
         if size:
-            yield often()
-
-    seen = written(source.mapInArrow(survey, "frequent boolean, key long, n long, id long"), "sets")
-    often = written(seen.where("frequent").groupBy("id").agg(F.sum("n").alias("n")), "frequent")
+            yield pooled()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of sets as they are (their ranges are negative), then the frequent shingles of each range."""
+        for part in groups(batches, ["range"]):
+            whole = part.column("range").to_numpy()
+            rows = part.slice(0, int(np.searchsorted(whole, 0))).select(["key", "n", "id"])
+            yield from rows.add_column(0, "frequent", pa.array(np.zeros(rows.num_rows, dtype=bool))).to_batches()
+            part = part.slice(rows.num_rows)
+            bounds = group_bounds(part, ["range"]).tolist() if part.num_rows else []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                yield frequent(part.slice(s, e - s))
+
+    def frequent(part: pa.Table) -> pa.RecordBatch:
+        at = part.column("range")[0].as_py()
+        values, n = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in part.column(c)]) for c, kind in (("values", np.uint32), ("counts", np.uint16)))
+        order = np.argsort(values)
+        values, n = values[order], n[order]
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        n = np.add.reduceat(n, first, dtype=np.int64)
+        more = n >= RANKED
+        some = int(more.sum())
+        shingles = (np.uint64(at) << np.uint64(_BUCKET_BITS) | values[first[more]].astype(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(some, dtype=bool)), pa.nulls(some, pa.int64()), pa.array(n[more]), pa.array(shingles)], names=["frequent", "key", "n", "id"])
+
+    dealt = source.mapInArrow(survey, "range int, key long, n long, id long, values binary, counts binary").repartition("range").sortWithinPartitions("range")
+    seen = written(dealt.mapInArrow(count, "frequent boolean, key long, n long, id long"), "sets", free=True)
+    often = seen.where("frequent")
     room, least = FREQUENT, 1 << 40
     for r in often.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
         room -= r["count"]
         if room < 0:
             break
         least = r["n"]
-    top = often.where(F.col("n") >= least).toArrow()
+    top = often.where(F.col("n") >= least).select("id", "n").toArrow()
     order = spark.sparkContext.broadcast(Order(top.column("id").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     return seen.where("not frequent").select("key", F.col("n").alias("n_shingles"), F.col("id").alias("set_id")), order
 

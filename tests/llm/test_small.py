@@ -216,6 +216,17 @@ def test_common_prefix_intervals():
     assert list(repeats.intervals([2, 3, 0, 1])) == [(3, 1, 2), (2, 0, 2), (1, 3, 4)]
 
 
+def test_jaccard_counts_shingles_of_all_tasks(spark):
+    """A phrase that no task has twice is known as frequent, so it puts no unlike documents in one cluster."""
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(25)), "one of the same five", *(f"b{i}x{j}" for j in range(25))])) for i in range(40)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 40), "key long, text string").select("key", F.col("text").cast("binary").alias("text"))
+    seen, order = jaccard._survey(docs, 5)
+    assert [r["n_shingles"] for r in seen.orderBy("key").collect()] == [51] * 40
+    shared = jaccard.shingle_sets([b"one of the same five"], 5).__next__()
+    assert order.value.prefix(shared, 1)[1].tolist() == [40]
+    assert jaccard._stars(docs, order, 5, 75, 16_384).count() == 0
+
+
 def test_jaccard_components_against_brute_force(spark, texts):
     members, _ = jaccard.link_documents(frame(spark, texts))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in members.collect()}
