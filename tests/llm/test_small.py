@@ -452,6 +452,30 @@ def test_runs_of_one_word_make_few_pairs(spark, monkeypatch):
     assert 0 < rows["keys"] <= 50 * 12
 
 
+def test_pairs_and_chains_are_taken_in_passes(spark, monkeypatch):
+    """Many pairs and chains are joined and aligned in shares, none of which writes all of them; same passages."""
+    rng = random.Random(29)
+    whole = sentence(rng, 100, 9000).split()
+    texts = [f"{sentence(rng, 9, 9000)} {' '.join(whole[i % 5 * 20 : i % 5 * 20 + 20])} {sentence(rng, 9, 9000)}" for i in range(60)]
+    texts += [f"{sentence(rng, 30, 9000)} {' '.join('q' if rng.random() < 0.1 else w for w in whole)} {sentence(rng, 30, 9000)}" for _ in range(12)]
+    rows: dict[str, list[int]] = {}
+    real = chaining.written
+
+    def counting(df, label, free=False):
+        out = real(df, label, free)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(chaining, "written", counting)
+    once = sorted(tuple(r) for r in chaining.find_passages(frame(spark, texts)).collect())
+    before, rows = rows, {}
+    monkeypatch.setattr(chaining, "PAIRS", before["keys"][0] // 3)
+    monkeypatch.setattr(chaining, "CHAINS", max(before["chains"]) // 2)
+    assert sorted(tuple(r) for r in chaining.find_passages(frame(spark, texts)).collect()) == once and len(once) >= 8
+    assert len(rows["keys"]) >= 3 and sum(rows["keys"]) == sum(before["keys"]) and max(rows["keys"]) < max(before["keys"])
+    assert rows["chains"] == before["chains"] and sum(rows["pieces"]) == sum(before["pieces"]) and max(rows["pieces"]) < max(before["pieces"])
+
+
 def test_spaced_seeds():
     run = np.array([7] * 36, dtype=np.uint64)
     at, owner = np.arange(36, dtype=np.int32), np.zeros(36, dtype=np.int64)
